@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from crestline.llm import pii, secrets
 from crestline.llm.common import read
 from crestline.llm.simhash import simhash_components
+from crestline.llm.spans import digest
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(pii.pii_spans(read(spark, sf_dir, "documents")), pii.KINDS)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(secrets.secret_spans(read(spark, sf_dir, "documents")), secrets.KINDS)
+
+
 QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_pii_spans": op5_pii_spans,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
