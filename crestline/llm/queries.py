@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.llm import pii, secrets
+from crestline.llm import licenses, pii, secrets, warc
 from crestline.llm.common import read
 from crestline.llm.simhash import simhash_components
 from crestline.llm.spans import digest
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read(spark, sf_dir, "pages"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
@@ -22,10 +26,24 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secrets.secret_spans(read(spark, sf_dir, "documents")), secrets.KINDS)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licence_digest(licenses.licence_scan(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op2_warc_archives": op2_warc_archives,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_pii_spans": op5_pii_spans,
     "op9_secret_scan": op9_secret_scan,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_archives": """
+        with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+             f as (select sha256(payload) as d, min(page_id) as first from p where octet_length(payload) >= 100 group by 1)
+        select page_id, octet_length(payload)::bigint as payload_bytes, sha256(payload) as payload_digest,
+               case when page_id = first or first is null then 'response' else 'revisit' end as record_type,
+               case when page_id = first or first is null then null else first end as refers_to
+        from p left join f on sha256(payload) = d and octet_length(payload) >= 100""",
+}
