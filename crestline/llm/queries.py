@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.llm import licenses, pii, secrets, warc
+from crestline.llm import licenses, pii, quality, secrets, toxicity, warc
 from crestline.llm.common import read
 from crestline.llm.simhash import simhash_components
 from crestline.llm.spans import digest
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read(spark, sf_dir, "pages"))
 
@@ -22,6 +26,10 @@ def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pii.pii_spans(read(spark, sf_dir, "documents")), pii.KINDS)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secrets.secret_spans(read(spark, sf_dir, "documents")), secrets.KINDS)
 
@@ -31,9 +39,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_warc_archives": op2_warc_archives,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_pii_spans": op5_pii_spans,
+    "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_license_scan": op10_license_scan,
 }
