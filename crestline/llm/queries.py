@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.llm import licenses, pii, quality, secrets, toxicity, warc
+from crestline.llm import decontam, embed_dedup, licenses, pii, quality, secrets, toxicity, warc
 from crestline.llm.common import read
 from crestline.llm.simhash import simhash_components
 from crestline.llm.spans import digest
@@ -26,6 +26,14 @@ def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pii.pii_spans(read(spark, sf_dir, "documents")), pii.KINDS)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_components(read(spark, sf_dir, "embeddings"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -43,11 +51,16 @@ QUERIES = {
     "op2_warc_archives": op2_warc_archives,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_pii_spans": op5_pii_spans,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_license_scan": op10_license_scan,
 }
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SHINGLES = "case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) end"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_archives": """
         with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
@@ -56,4 +69,12 @@ ORACLE_SQL: dict[str, str] = {
                case when page_id = first or first is null then 'response' else 'revisit' end as record_type,
                case when page_id = first or first is null then null else first end as refers_to
         from p left join f on sha256(payload) = d and octet_length(payload) >= 100""",
+    "op7_benchmark_decontamination": f"""
+        with d as (select doc_id, {_WORDS} as w from documents),
+             i as (select item_id, {_WORDS} as w from benchmark),
+             ds as (select doc_id, unnest({_SHINGLES}) as s from d),
+             it as (select item_id, {_SHINGLES} as ss from i),
+             si as (select item_id, len(ss)::bigint as n_item, unnest(ss) as s from it)
+        select doc_id, item_id, count(*)::bigint as n_shared, n_item, count(*)::double / n_item as containment
+        from ds join si using (s) group by doc_id, item_id, n_item having count(*) >= 0.8 * n_item - 1e-9""",
 }
