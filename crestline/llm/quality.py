@@ -192,9 +192,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", divi
     return fit(labelled_sample(docs, labels, label, divisor, held, train_rows, train_chars))
 
 
-def reject_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least ``threshold``."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, train_rows=train_rows, train_chars=train_chars))
+def reject_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, docs_for_fit: DataFrame | None = None, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least ``threshold``; fitted on docs_for_fit if given."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs if docs_for_fit is None else docs_for_fit, labels, train_rows=train_rows, train_chars=train_chars))
     at = docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

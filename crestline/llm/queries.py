@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crestline.llm import decontam, embed_dedup, licenses, pii, quality, secrets, toxicity, warc
+from crestline.llm import decontam, embed_dedup, licenses, mixing, pii, quality, secrets, toxicity, warc
 from crestline.llm.common import read
 from crestline.llm.simhash import simhash_components
 from crestline.llm.spans import digest
@@ -18,6 +19,11 @@ def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read(spark, sf_dir, "pages"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix_sources(read(spark, sf_dir, "documents"), budget_ratio=1.25).rows
+    return rows.withColumn("weight", F.round("weight", 9))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
@@ -49,6 +55,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc_archives": op2_warc_archives,
+    "op3_source_mixing": op3_source_mixing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_pii_spans": op5_pii_spans,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
@@ -69,6 +76,29 @@ ORACLE_SQL: dict[str, str] = {
                case when page_id = first or first is null then 'response' else 'revisit' end as record_type,
                case when page_id = first or first is null then null else first end as refers_to
         from p left join f on sha256(payload) = d and octet_length(payload) >= 100""",
+    "op3_source_mixing": r"""
+        with t as (
+            select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+'))::bigint as n_tokens,
+                   case when source is null then 'n' else 's' || source end as skey,
+                   substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 16) as h from documents),
+        s as (select skey, sum(n_tokens)::bigint as tokens, ln(sum(n_tokens)::double) as x from t group by 1 having sum(n_tokens) > 0),
+        g as (select count(*) as n, max(x) as top, min(x) as low, floor(sum(tokens) * 1.25)::double as total from s),
+        z as (select k, k / 1048576::double as a, sum(exp(k / 1048576::double * (x - top))) as z, sum(x * exp(k / 1048576::double * (x - top))) as zx
+              from range(1048577) r(k), s, g group by k),
+        e as (select greatest(max(k) filter (ln(z) + a * top - a * zx / z >= 0.95::double * ln(n) - 1e-12),
+                              coalesce(min(k) filter (total * exp(a * (low - top) - low) / z <= 4), 1048576)) as k from z, g),
+        w as (select skey, tokens, exp(a * (x - top)) / z as weight, floor(exp(a * (x - top)) / z * total + 0.5)::bigint as budget
+              from s, g, z where k = (select k from e)),
+        b as (select skey, weight, budget // tokens as epochs, budget % tokens as room from w),
+        p as (select *, substr(md5('mix:' || epochs || ':' || substr(h, 1, 2)), 1, 8) || substr(h, 1, 2)
+                     || substr(md5('mix:' || epochs || ':' || substr(h, 3, 2)), 1, 8) || substr(h, 3, 2)
+                     || substr(md5('mix:' || epochs || ':' || substr(h, 5, 2)), 1, 8) || substr(h, 5, 2) || h as place from t join b using (skey)),
+        u as (select *, epochs + (sum(n_tokens) over (partition by skey order by place) <= room)::bigint as times from p),
+        r as (select doc_id, source, n_tokens, weight, h, unnest(range(times))::bigint as epoch from u)
+        select doc_id, source, n_tokens, round(weight, 9) as weight, epoch,
+               substr(md5('mix:' || epoch || ':' || substr(h, 1, 2)), 1, 8) || substr(h, 1, 2)
+               || substr(md5('mix:' || epoch || ':' || substr(h, 3, 2)), 1, 8) || substr(h, 3, 2)
+               || substr(md5('mix:' || epoch || ':' || substr(h, 5, 2)), 1, 8) || substr(h, 5, 2) || h as order_key from r""",
     "op7_benchmark_decontamination": f"""
         with d as (select doc_id, {_WORDS} as w from documents),
              i as (select item_id, {_WORDS} as w from benchmark),

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from crestline.llm.common import env_path
@@ -100,16 +101,20 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts have no spans; repeated rows and null ids stay. Other columns are not read. The vocabulary
     is broadcast: its size is fixed and checked.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(vocabulary(docs.sparkSession, vocabulary_path))
+    return scan_texts(docs, _scanner(docs.sparkSession, vocabulary_path, max_chars_per_token, min_random), id_col, text_col)
+
+
+def _scanner(spark: SparkSession, path: str, most: float, least: int) -> Callable[[], Callable[[str], list[Span]]]:
+    ranks = spark.sparkContext.broadcast(vocabulary(spark, path))
 
     def scanner() -> Callable[[str], list[Span]]:
         def find(text: str) -> list[Span]:
             base = base_spans(text)
-            return ordered(base + random_spans(text, lambda x: token_counter(ranks.value)(x), base, max_chars_per_token, min_random), KINDS)
+            return ordered(base + random_spans(text, lambda x: token_counter(ranks.value)(x), base, most, least), KINDS)
 
         return find
 
-    return scan_texts(docs, scanner, id_col, text_col)
+    return scanner
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -120,3 +125,26 @@ def redact(text: str, spans: list[Span]) -> str:
             out += [text[pos : x.start], f"[{x.kind}]"]
         pos = max(pos, x.end)
     return "".join([*out, text[pos:]])
+
+
+def redact_secrets(docs: DataFrame, vocabulary_path: str = VOCABULARY, max_chars_per_token: float = MAX_CHARS_PER_TOKEN, min_random: int = MIN_RANDOM) -> DataFrame:
+    """The rows of docs, all columns, with every secret in text replaced; n_chars, if there, is the new length."""
+    scanner, at = _scanner(docs.sparkSession, vocabulary_path, max_chars_per_token, min_random), docs.columns.index("text")
+    length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = scanner()
+        for batch in batches:
+            texts, found = batch.column(at).to_pylist(), {}
+            for i, text in enumerate(texts):
+                if spans := find(text or ""):
+                    found[i] = redact(text, spans)
+            if found:
+                columns = list(batch.columns)
+                columns[at] = pa.array([found.get(i, x) for i, x in enumerate(texts)], columns[at].type)
+                if length is not None:
+                    columns[length] = pa.array([len(found[i]) if i in found else x for i, x in enumerate(columns[length].to_pylist())], columns[length].type)
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield batch
+
+    return docs.mapInArrow(scan, docs.schema)

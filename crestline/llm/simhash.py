@@ -39,10 +39,8 @@ def shingles_of(words: list[bytes], n: int) -> Iterator[bytes]:
     return map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))
 
 
-def fingerprint(words: list[bytes], n: int = NGRAM, seed: int = SEED, distinct: bool = False) -> int:
+def fingerprint(words: list[bytes], n: int = NGRAM, seed: int = SEED) -> int:
     """Bit set where it is set in over half of the shingles' XXH64; unsigned, zero without words."""
-    if distinct:
-        words, n = sorted(set(words)), 1
     counts, total = np.zeros(64, np.int64), 0
     steps = max(1, len(words) - n + 1)
     for lo in range(0, steps, _CHUNK):
@@ -55,12 +53,12 @@ def fingerprint(words: list[bytes], n: int = NGRAM, seed: int = SEED, distinct:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, seed: int = SEED, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, seed: int = SEED) -> DataFrame:
     """(id, fp) with the fingerprint's 64 bits in a signed long; a null text is an empty one. One narrow Arrow pass."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(words_of(x), ngram, seed, distinct) for x in byte_texts(batch.column(1))], np.uint64)
+            found = np.array([fingerprint(words_of(x), ngram, seed) for x in byte_texts(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "id long, fp long")
