@@ -1,61 +1,23 @@
-"""What the operators share: tables in the cluster's shared folder, byte-level tokenisers and local union-find."""
+"""What the operators share: byte-level tokenisers, table paths and local union-find."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from crestline.sources.storage import discard, materialise, shared_dir
+
+__all__ = ["ALNUM", "LOWER", "byte_texts", "discard", "env_path", "local_roots", "materialise", "read", "shared_dir", "table_path"]
+
 #: lower-cases A-Z, leaves every other byte
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space; bytes of other characters stay
 ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one set on the context.
-
-    Only a local master without the setting gets a temporary folder; a cluster without it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else None
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="crestline-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back: short lineage that outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._crestline_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete a table of ``materialise`` that nothing reads any more."""
-    path = getattr(df, "_crestline_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, empty for null."""
     if isinstance(column, pa.ChunkedArray):
