@@ -49,7 +49,7 @@ def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     nobody = n % 79 == 0
     return rows.select(
         F.when(n % 97 == 0, "").otherwise(F.col("event_id")).alias("event_id"),
-        F.when(n % 89 == 0, " \t ").when(n % 83 == 0, F.repeat("x", F.lit(257))).otherwise(F.concat(F.lit("  "), F.upper("query"), F.lit("\t\n Z "))).alias("query"),
+        F.when(n % 89 == 0, " \t ").when(n % 83 == 0, F.repeat(F.lit("x"), 257)).otherwise(F.concat(F.lit("  "), F.upper("query"), F.lit("\t\n Z "))).alias("query"),
         F.when(nobody, " ").otherwise(F.col("user_id")).alias("user_id"),
         F.when(nobody, "").otherwise(F.col("session_id")).alias("session_id"),
         "timestamp",
@@ -186,7 +186,8 @@ def generated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str, query: str = "event_type") -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return user_events(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet"), query)
+    files = f"{sf_dir}/events.parquet*"  # a stream's path must be a folder or a pattern
+    return user_events(spark.readStream.schema(schema).parquet(files), query)
 
 
 def _run(writer, path: str) -> None:
