@@ -113,7 +113,7 @@ class SnapshotConfig:
 class Config:
     brokers: tuple[str, ...] = ("localhost:9092",)
     topic: str = "search.events"
-    group_id: str = "trending-search"
+    group_id: str = "crestline"
     http_port: int = 8080
     log_level: str = "info"
     log_format: str = "text"
@@ -141,7 +141,7 @@ class Config:
         return cls(
             brokers=tuple(csv(get("KAFKA_BROKERS", "localhost:9092"))),
             topic=get("KAFKA_TOPIC", "search.events"),
-            group_id=get("KAFKA_GROUP_ID", "trending-search"),
+            group_id=get("KAFKA_GROUP_ID", "crestline"),
             http_port=int(get("HTTP_PORT", "8080")),
             log_level=get("LOG_LEVEL", "info"),
             log_format=get("LOG_FORMAT", "text"),

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The Unicode white space that trimming removes.
-_SPACE = "[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+_SPACES = "\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+_SPACE = f"[{_SPACES}]"
 
 
 def trim_space(c: Column) -> Column:
@@ -14,6 +15,11 @@ def trim_space(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), f"^{_SPACE}+|{_SPACE}+\\z", "")
 
 
+def is_blank(c: Column) -> Column:
+    """Whether nothing but white space is there: a search for one other character, cheaper than trimming."""
+    return ~F.coalesce(c, F.lit("")).rlike(f"[^{_SPACES}]")
+
+
 def lower(c: Column) -> Column:
     """Lower case by simple mapping: capital I with a dot becomes a plain i, not two code points."""
     return F.lower(F.translate(F.coalesce(c, F.lit("")), "İ", "i"))

@@ -7,7 +7,7 @@ longer than the time to live starts anew.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.config import AnomalyConfig
@@ -27,20 +27,29 @@ def with_lives(panes: DataFrame, cfg: AnomalyConfig) -> DataFrame:
     return panes.withColumn("_fresh", fresh).withColumn("life", F.sum("_fresh").over(order)).drop("_fresh")
 
 
-def ewma_at(panes: DataFrame, as_of_us: int, cfg: AnomalyConfig) -> DataFrame:
-    """(query, ewma, current, first_us, last_us) from the panes up to as_of, of the query's present life.
+def query_state(panes: DataFrame, as_of_us: int, cfg: AnomalyConfig, size_us: int | None = None) -> DataFrame:
+    """(query, ewma, current, first_us, last_us[, cnt]) from the panes up to as_of: the baseline of the query's present
+    life and, if size_us is given, its count in the window that ends at as_of.
 
     One shuffle by query: the windows and the aggregation share it, over a row for each pane.
     """
-    known = _numbered(with_lives(panes.where(F.col("pane_us") <= as_of_us), cfg), cfg)
     whole = Window.partitionBy("query")
-    known = known.withColumn("_life", F.max("life").over(whole)).where("life = _life").withColumn("last", F.max("i").over(whole))
+    known = _numbered(with_lives(panes.where(F.col("pane_us") <= as_of_us), cfg), cfg)
+    known = known.withColumn("present", F.col("life") == F.max("life").over(whole)).withColumn("last", F.max("i").over(whole))
+    before, present = F.col("present") & (F.col("i") < F.col("last")), F.col("present")
     decay = F.lit(cfg.alpha) * F.pow(F.lit(1.0 - cfg.alpha), (F.col("last") - 1 - F.col("i")).cast("double")) * F.col("cnt")
-    before = F.col("i") < F.col("last")
-    return known.groupBy("query").agg(
-        F.sum(F.when(before, decay).otherwise(0.0)).alias("ewma"), F.sum(F.when(~before, F.col("cnt")).otherwise(0)).alias("current"),
-        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
-    )
+    state = [
+        F.sum(F.when(before, decay).otherwise(0.0)).alias("ewma"), F.sum(F.when(F.col("i") == F.col("last"), F.col("cnt")).otherwise(0)).alias("current"),
+        F.min(F.when(present, F.col("first_us"))).alias("first_us"), F.max("last_us").alias("last_us"),
+    ]
+    if size_us is not None:
+        state.append(F.sum(F.when(F.col("pane_us") > as_of_us - size_us, F.col("cnt")).otherwise(0)).alias("cnt"))
+    return known.groupBy("query").agg(*state)
+
+
+def ewma_at(panes: DataFrame, as_of_us: int, cfg: AnomalyConfig) -> DataFrame:
+    """(query, ewma, current, first_us, last_us)."""
+    return query_state(panes, as_of_us, cfg)
 
 
 def ewma_history(panes: DataFrame, cfg: AnomalyConfig, history: int = HISTORY) -> DataFrame:
@@ -51,10 +60,19 @@ def ewma_history(panes: DataFrame, cfg: AnomalyConfig, history: int = HISTORY) -
     return rows.select("query", "pane_us", "cnt", F.aggregate("before", F.lit(0.0), lambda acc, x: acc + weight(x)).alias("ewma"))
 
 
-def anomaly_flags(panes: DataFrame, as_of_us: int, cfg: AnomalyConfig) -> DataFrame:
-    """(query, ewma, current, anomaly). A query silent since before the time to live is forgotten and not flagged."""
-    state = ewma_at(panes, as_of_us, cfg)
+def is_burst(as_of_us: int, cfg: AnomalyConfig) -> Column:
+    """Over the columns of query_state. A query silent since before the time to live is forgotten and no burst."""
     old = F.lit(as_of_us) - F.col("first_us") >= round(cfg.min_age_s * 1e6)
     known = F.lit(as_of_us) - F.col("last_us") <= round(cfg.ttl_s * 1e6)
-    flag = old & known & (F.col("ewma") >= 1) & (F.col("current") > F.col("ewma") * cfg.threshold)
-    return state.select("query", "ewma", "current", flag.alias("anomaly"))
+    return old & known & (F.col("ewma") >= 1) & (F.col("current") > F.col("ewma") * cfg.threshold)
+
+
+def anomaly_flags(panes: DataFrame, as_of_us: int, cfg: AnomalyConfig) -> DataFrame:
+    """(query, ewma, current, anomaly)."""
+    return query_state(panes, as_of_us, cfg).select("query", "ewma", "current", is_burst(as_of_us, cfg).alias("anomaly"))
+
+
+def flagged_counts(panes: DataFrame, as_of_us: int, cfg: AnomalyConfig, size_us: int) -> DataFrame:
+    """(query, cnt, anomaly) of the window at as_of, from one pane table in one pass: nothing is left to join."""
+    state = query_state(panes, as_of_us, cfg, size_us)
+    return state.where("cnt > 0").select("query", "cnt", is_burst(as_of_us, cfg).alias("anomaly"))

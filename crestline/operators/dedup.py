@@ -33,14 +33,23 @@ def mark_repeats(events: DataFrame, rotation_us: int, rotations: int) -> DataFra
 def first_touches(events: DataFrame, rotation_us: int, rotations: int) -> DataFrame:
     """(identity, query, epoch, ts_us, event_id, touches, keep): the first event of each epoch of a key."""
     first = events.groupBy(*KEY, epoch(rotation_us).alias("epoch")).agg(F.min(F.struct("ts_us", "event_id")).alias("f"), F.count("*").alias("touches"))
+    return first.select(*KEY, "epoch", F.col("f.ts_us").alias("ts_us"), F.col("f.event_id").alias("event_id"), "touches", _kept(rotations).alias("keep"))
+
+
+def _kept(rotations: int) -> Column:
     before = F.lag("epoch").over(Window.partitionBy(*KEY).orderBy("epoch"))
-    keep = before.isNull() | (F.col("epoch") - before >= rotations)
-    return first.select(*KEY, "epoch", F.col("f.ts_us").alias("ts_us"), F.col("f.event_id").alias("event_id"), "touches", keep.alias("keep"))
+    return before.isNull() | (F.col("epoch") - before >= rotations)
 
 
 def drop_repeats(events: DataFrame, rotation_us: int, rotations: int) -> DataFrame:
-    """(identity, query, ts_us, event_id) of the events that are no repeats: one shuffle, pre-aggregated, no join.
+    """(identity, query, ts_us, event_id) of the events that are no repeats; two of one key with equal time and id are one."""
+    return first_touches(events, rotation_us, rotations).where("keep").select(*KEY, "ts_us", "event_id")
 
-    Two events of one key with equal time and id are one.
+
+def unique_touches(events: DataFrame, rotation_us: int, rotations: int) -> DataFrame:
+    """(query, ts_us) of the events that are no repeats, for counting: a hash aggregation of numbers only.
+
+    The first shuffle carries a row for each key and epoch of a task, the second a row for each key and epoch.
     """
-    return first_touches(events, rotation_us, rotations).where("keep").select(*KEY, "ts_us", "event_id")
+    first = events.groupBy(*KEY, epoch(rotation_us).alias("epoch")).agg(F.min("ts_us").alias("ts_us"))
+    return first.select("query", "ts_us", _kept(rotations).alias("keep")).where("keep").select("query", "ts_us")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.functions.text import identity, micros, normalize_query, trim_space
+from crestline.functions.text import identity, is_blank, micros, normalize_query, trim_space
 
 REASONS = ("empty_event_id", "empty_query", "invalid_utf8", "query_too_long", "no_identifier", "future_time", "stale_event")
 
@@ -17,14 +17,18 @@ def normalize(events: DataFrame) -> DataFrame:
 
 
 def reject_reason(now_us: Column, max_age_us: int = 300_000_000, max_chars: int = 256) -> Column:
-    """The first of REASONS that holds for a normalised event, else null. A missing timestamp is stale."""
-    query, ts = F.col("query"), F.col("ts_us")
+    """The first of REASONS that holds for an event as it came, else null. A missing timestamp is stale.
+
+    The tests are those of the normalised event, put so that no text is normalised for them: white space decides
+    blanks, and only a text that is too long as it came can be too long afterwards.
+    """
+    query, ts = F.coalesce("query", F.lit("")), micros(F.col("timestamp"))
     tests = (
-        F.col("event_id") == "",
-        query == "",
+        F.coalesce("event_id", F.lit("")) == "",
+        is_blank(query),
         ~F.is_valid_utf8(query),
-        F.length(query) > max_chars,
-        (F.col("user_id") == "") & (F.col("session_id") == ""),
+        (F.length(query) > max_chars) & (F.length(normalize_query(query)) > max_chars),
+        is_blank(F.col("user_id")) & is_blank(F.col("session_id")),
         ts > now_us,
         ts.isNull() | (now_us - ts > max_age_us),
     )
@@ -37,4 +41,4 @@ def reject_reason(now_us: Column, max_age_us: int = 300_000_000, max_chars: int
 def with_reject_reason(events: DataFrame, now_us: Column | int, max_age_us: int = 300_000_000, max_chars: int = 256) -> DataFrame:
     """Normalised events with ``reject_reason``: one projection, no shuffle."""
     now = F.lit(now_us) if isinstance(now_us, int) else now_us
-    return normalize(events).withColumn("reject_reason", reject_reason(now, max_age_us, max_chars))
+    return normalize(events.withColumn("reject_reason", reject_reason(now, max_age_us, max_chars)))

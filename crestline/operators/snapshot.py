@@ -15,11 +15,15 @@ DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
 def rank(counts: DataFrame, cfg: SnapshotConfig, flags: DataFrame | None = None, stop: DataFrame | None = None) -> DataFrame:
     """(query, count, score, anomaly), best first: count is the score cut to a whole number, zeros included.
 
+    counts: (query, cnt), with the flags in a column ``anomaly`` or in a table of their own, or without any.
+
     The candidates are the largest counts before stop words go, so the list can be short though more queries exist.
     After this cut everything is bounded by the snapshot's size.
     """
     top = exclude(top_k(counts, cfg.max_size * cfg.candidate_factor), stop)
-    if flags is None:
+    if "anomaly" in counts.columns:
+        marked = top
+    elif flags is None:
         marked = top.withColumn("anomaly", F.lit(False))
     else:
         marked = top.join(flags.where("anomaly").select("query", "anomaly"), "query", "left").withColumn("anomaly", F.coalesce("anomaly", F.lit(False)))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crestline.config import Config
 from crestline.functions.text import micros
-from crestline.operators.anomaly import anomaly_flags
-from crestline.operators.dedup import drop_repeats, mark_repeats
-from crestline.operators.events import normalize, with_reject_reason
+from crestline.operators.anomaly import anomaly_flags, flagged_counts
+from crestline.operators.dedup import mark_repeats, unique_touches
+from crestline.operators.events import with_reject_reason
 from crestline.operators.panes import admitted, pane_counts, window_counts
 from crestline.operators.snapshot import rank
 
@@ -38,32 +36,23 @@ def classify(events: DataFrame, cfg: Config, now_us: int) -> DataFrame:
     return kept.unionByName(bad)
 
 
-class Panes(NamedTuple):
-    """Panes of the window, and of the anomaly baseline."""
-
-    window: DataFrame
-    baseline: DataFrame
-
-
-def panes_of(events: DataFrame, cfg: Config, as_of_us: int | None = None) -> Panes:
-    """Pane tables of valid events without repeats: (query, pane_us, cnt, first_us, last_us)."""
-    unique = drop_repeats(valid_events(events, cfg), cfg.dedup.rotation_us, cfg.dedup.rotations)
-    if as_of_us is not None:
-        unique = unique.where(F.col("ts_us") <= as_of_us)
-    fresh = unique if as_of_us is None else admitted(unique, as_of_us, cfg.window.size_us)
-    return Panes(pane_counts(fresh, cfg.window.pane_us), pane_counts(unique if cfg.anomaly.include_stale else fresh, cfg.anomaly.bucket_us))
+def unique_events(events: DataFrame, cfg: Config, dedup: bool = True) -> DataFrame:
+    """(query, ts_us) of valid events, without repeats unless dedup is off."""
+    valid = valid_events(events, cfg)
+    return unique_touches(valid, cfg.dedup.rotation_us, cfg.dedup.rotations) if dedup else valid.select("query", "ts_us")
 
 
 def trending(events: DataFrame, as_of_us: int, cfg: Config, stop: DataFrame | None = None, dedup: bool = True, anomaly: bool = True) -> DataFrame:
-    """The ranked snapshot at as_of: (query, count, score, anomaly)."""
-    if dedup:
-        panes = panes_of(events, cfg, as_of_us)
-    else:
-        valid = valid_events(events, cfg).where(F.col("ts_us") <= as_of_us)
-        panes = Panes(pane_counts(valid, cfg.window.pane_us), pane_counts(valid, cfg.anomaly.bucket_us))
-    flags = anomaly_flags(panes.baseline, as_of_us, cfg.anomaly) if anomaly else None
-    return rank(window_counts(panes.window, as_of_us, cfg.window.size_us), cfg.snapshot, flags, stop)
-
-
-def normalized(events: DataFrame) -> DataFrame:
-    return normalize(events)
+    """The ranked snapshot at as_of: (query, count, score, anomaly).
+
+    With equal panes for window and baseline, which is the default, one pane table gives both in one pass. A pane that
+    begins inside the window holds no event outside it, so the window needs no filter of its own.
+    """
+    unique = unique_events(events, cfg, dedup).where(F.col("ts_us") <= as_of_us)
+    if not anomaly:
+        return rank(window_counts(pane_counts(unique, cfg.window.pane_us), as_of_us, cfg.window.size_us), cfg.snapshot, None, stop)
+    baseline = unique if cfg.anomaly.include_stale else admitted(unique, as_of_us, cfg.window.size_us)
+    if cfg.window.pane_us == cfg.anomaly.bucket_us:
+        return rank(flagged_counts(pane_counts(baseline, cfg.window.pane_us), as_of_us, cfg.anomaly, cfg.window.size_us), cfg.snapshot, None, stop)
+    counts = window_counts(pane_counts(unique, cfg.window.pane_us), as_of_us, cfg.window.size_us)
+    return rank(counts, cfg.snapshot, anomaly_flags(pane_counts(baseline, cfg.anomaly.bucket_us), as_of_us, cfg.anomaly), stop)

@@ -16,9 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from crestline.config import Config
-from crestline.operators.anomaly import anomaly_flags
+from crestline.operators.anomaly import flagged_counts
 from crestline.operators.events import with_reject_reason
-from crestline.operators.panes import merge_panes, pane_counts, window_counts
+from crestline.operators.panes import merge_panes, pane_counts
 from crestline.operators.snapshot import rank
 
 PANE = "query string, pane_us long, cnt long, first_us long, last_us long"
@@ -87,9 +87,8 @@ class SnapshotHolder:
 
 def build_snapshot(spark: SparkSession, path: str, as_of_us: int, cfg: Config, stop: DataFrame | None = None) -> list[tuple[str, int]]:
     """The snapshot at as_of from a pane table; at most max_size rows reach the driver."""
-    panes = read_panes(spark, path)
-    flags = anomaly_flags(panes, as_of_us, cfg.anomaly)
-    ranked = rank(window_counts(panes, as_of_us, cfg.window.size_us), cfg.snapshot, flags, stop)
+    counts = flagged_counts(read_panes(spark, path), as_of_us, cfg.anomaly, cfg.window.size_us)
+    ranked = rank(counts, cfg.snapshot, None, stop)
     return [(r["query"], r["count"]) for r in ranked.collect()]
 
 
