@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import LOWER, byte_texts, discard, local_roots, materialise
+from crestline.llm.common import LOWER, byte_texts, local_roots, materialise
 from crestline.llm.components import connected_components
 
 SEED = 42
@@ -72,11 +72,11 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _compare(tables: np.ndarray, keys: np.ndarray, parts: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links within each run of equal (table, key, part), smallest fingerprint of a local component as centre."""
+def _compare(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links within each run of equal keys; the smallest fingerprint of a local component is its centre."""
     n = len(fps)
     new = np.ones(n, bool)
-    new[1:] = (tables[1:] != tables[:-1]) | (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])
+    new[1:] = keys[1:] != keys[:-1]
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, n))
     left = np.repeat(start + size, size) - np.arange(n) - 1
@@ -95,49 +95,78 @@ def _compare(tables: np.ndarray, keys: np.ndarray, parts: np.ndarray, fps: np.nd
     return fps[child], fps[root[child]]
 
 
-def _bucket_scan(radius: int):
+def _bucket_scan(radius: int, block: int):
+    """Rows (key, fp) sorted by key into links (a, b), and (null, null, hot) for each bucket of over ``block`` rows.
+
+    A bucket is held until it ends or proves hot; the rest of a hot one is skipped, so memory is bounded.
+    """
+
+    def out(a: np.ndarray, b: np.ndarray, hot: list[int]) -> pa.RecordBatch:
+        none = pa.nulls(len(hot), pa.int64())
+        columns = [pa.concat_arrays([pa.array(a), none]), pa.concat_arrays([pa.array(b), none]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(hot, pa.int64())])]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "hot"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        key, fp, skipped = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+        def finished(cut: int) -> pa.RecordBatch:
+            k, f = key[:cut], fp[:cut]
+            start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if cut else np.zeros(0, np.int64)
+            size = np.diff(np.append(start, cut))
+            cold = np.repeat(size <= block, size)
+            return out(*_compare(k[cold], f[cold], radius), k[start[size > block]].tolist())
+
         for batch in batches:
-            cols = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
-            if not len(cols[0]):
+            more_key, more_fp = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            if skipped is not None:
+                keep = more_key != skipped
+                more_key, more_fp = more_key[keep], more_fp[keep]
+            if not len(more_key):
                 continue
-            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
-            cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
-            held = [c[cut:] for c in cols]
-            if cut:
-                a, b = _compare(*(c[:cut] for c in cols), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        if len(held[0]):
-            a, b = _compare(*held, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            key, fp, skipped = np.concatenate([key, more_key]), np.concatenate([fp, more_fp]), None
+            cut = int(np.searchsorted(key, key[-1]))
+            if len(key) - cut > block:  # hot: the rest of it is not needed
+                skipped, cut = int(key[-1]), len(key)
+            yield finished(cut)
+            key, fp = key[cut:], fp[cut:]
+        yield finished(len(key))
 
     return scan
 
 
+def _pair_scan(radius: int):
+    """Groups (key) of sorted rows, each no larger than two blocks: links only."""
+    scan = _bucket_scan(radius, 1 << 62)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in scan(batches):
+            yield batch.select(["a", "b"])
+
+    return links
+
+
 def links_within(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(a, b) links that join all fingerprints within ``radius`` bits of each other into the same components.
 
-    fps: distinct column ``fp``. Buckets of over ``block`` fingerprints are dealt into blocks, and every two blocks meet
-    in a group of their own, so that no task holds more than two blocks of a bucket and no link is lost. A task
-    returns a spanning forest of a bucket, not its pairs.
+    fps: distinct column ``fp``. A bucket's key is a hash of its table and masked bits, so that a row is two numbers;
+    buckets that share a key are compared as one. Buckets of over ``block`` fingerprints are named by the first pass and
+    dealt into blocks, and every two blocks meet in a group of their own: no task holds more than two blocks of a
+    bucket and no link is lost. A task returns a spanning forest of a bucket, not its pairs.
     """
     masks = covering_masks(radius)
-    spread = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks))))
-    rows = fps.select("fp", spread.alias("x")).select(F.col("x.t").alias("t"), F.col("x.k").alias("k"), "fp")
-    hot = materialise(rows.groupBy("t", "k").count().where(F.col("count") > block).select("t", "k", F.ceil(F.col("count") / block).cast("long").alias("n")), "hot-buckets")
-    if hot.isEmpty():
-        discard(hot)
-        placed = rows.select(F.col("t").cast("long").alias("t"), "k", F.lit(0).cast("long").alias("p"), "fp")
-    else:
-        own = F.pmod(F.xxhash64("fp", "t"), F.col("n"))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
-        joined = rows.join(hot, ["t", "k"], "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
-        joined = joined.withColumn("own", own).withColumn("other", other)
-        part = F.least("own", "other") * F.col("n") + F.greatest("own", "other")
-        placed = joined.select(F.col("t").cast("long").alias("t"), "k", part.alias("p"), "fp")
-    sorted_rows = placed.repartition("t", "k", "p").sortWithinPartitions("t", "k", "p", "fp")
-    return sorted_rows.mapInArrow(_bucket_scan(radius), "a long, b long").distinct()
+    keys = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)))
+    rows = fps.select(F.explode(keys).alias("key"), "fp")
+    found = materialise(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_scan(radius, block), "a long, b long, hot long"), "bucket-links")
+    links = found.where("hot is null").select("a", "b")
+    hot = found.where("hot is not null").select(F.col("hot").alias("key")).distinct()
+    if not hot.isEmpty():
+        parts = materialise(rows.join(hot, "key").groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("n")), "hot-buckets")
+        dealt = rows.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit("block")), "n"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        pairs = dealt.select(group.alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+        links = links.unionByName(pairs.mapInArrow(_pair_scan(radius), "a long, b long"))
+    return links.distinct()
 
 
 def label_fingerprints(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
