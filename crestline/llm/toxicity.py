@@ -134,7 +134,7 @@ def fit(sample: list[tuple[str, int]], seed: int = 5, epochs: int = EPOCHS, buck
     """
     rng = np.random.default_rng(seed)
     y = np.array([v for _, v in sample], np.float64)
-    table = rng.normal(0, 0.3, (buckets, dim)).astype(np.float32)
+    table = rng.normal(0, 0.05, (buckets, dim)).astype(np.float32)
     filters = {w: rng.normal(0, 0.5, (w, dim, n_filters)).astype(np.float32) for w in widths}
     out = (rng.choice([1.0, -0.3], len(widths) * n_filters, p=[0.75, 0.25]) * 0.5).astype(np.float32)
     none = Model(table[:1] * 0, {w: f * 0 for w, f in filters.items()}, out * 0, 0.0, np.zeros(len(LANGUAGES)), 1.0)

@@ -88,7 +88,7 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
         p = np.clip(sigmoid(logits / np.exp(log_t)), 1e-12, 1 - 1e-12)
         return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
-    lo, hi, g = -3.0, 3.0, (5**0.5 - 1) / 2
+    lo, hi, g = -1.5, 3.0, (5**0.5 - 1) / 2
     for _ in range(50):
         a, b = hi - g * (hi - lo), lo + g * (hi - lo)
         lo, hi = (lo, b) if loss(a) < loss(b) else (a, hi)
