@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from crestline.config import Config
-from crestline.operators.anomaly import flagged_counts
+from crestline.operators.anomaly import HISTORY, flagged_counts
 from crestline.operators.events import with_reject_reason
 from crestline.operators.panes import merge_panes, pane_counts
 from crestline.operators.snapshot import rank
@@ -85,9 +85,29 @@ class SnapshotHolder:
         return list(self._rows if limit is None else self._rows[:limit])
 
 
+def history_us(cfg: Config) -> int:
+    """How far back a snapshot reads: the window, or as far as panes weigh anything in the baseline or in a key's age."""
+    weighed = HISTORY * cfg.anomaly.bucket_us + round((cfg.anomaly.ttl_s + cfg.anomaly.min_age_s) * 1e6)
+    return max(cfg.window.size_us, weighed)
+
+
+def expire_batches(spark: SparkSession, path: str, before_us: int) -> int:
+    """Delete the folders of batches all of whose panes began before ``before_us``; how many."""
+    try:
+        rows = spark.read.schema(PANE + ", batch long").option("basePath", path).parquet(path)
+    except AnalysisException:
+        return 0
+    old = rows.groupBy("batch").agg(F.max("pane_us").alias("newest")).where(F.col("newest") < before_us).collect()
+    for r in old:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={r['batch']}")
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(old)
+
+
 def build_snapshot(spark: SparkSession, path: str, as_of_us: int, cfg: Config, stop: DataFrame | None = None) -> list[tuple[str, int]]:
     """The snapshot at as_of from a pane table; at most max_size rows reach the driver."""
-    counts = flagged_counts(read_panes(spark, path), as_of_us, cfg.anomaly, cfg.window.size_us)
+    panes = read_panes(spark, path).where(F.col("pane_us") > as_of_us - history_us(cfg))
+    counts = flagged_counts(panes, as_of_us, cfg.anomaly, cfg.window.size_us)
     ranked = rank(counts, cfg.snapshot, None, stop)
     return [(r["query"], r["count"]) for r in ranked.collect()]
 

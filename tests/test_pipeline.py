@@ -82,3 +82,49 @@ def test_live_snapshot(spark, tmp_path):
 def test_tiny_inputs(spark, n):
     rows = spark.createDataFrame([event(i, "a", "u", 1) for i in range(n)], SCHEMA)
     assert trending(rows, NOW, Config()).count() == n
+
+
+def test_service_on_a_stream(spark, tmp_path):
+    from crestline.streaming.live import start
+    from crestline.streaming.serve import Service, StopWords
+    from crestline.streaming.trending import expire_batches
+
+    rows = [event(i, f"q{i % 3}", f"u{i % 30}", i % 90) for i in range(90)] + [event(500 + i, "q0", "bot", 1 + i % 5) for i in range(50)]
+    good = spark.createDataFrame(rows, SCHEMA)
+    messages = good.select(encode_json(good).alias("value")).union(spark.createDataFrame([("junk",)], "value string"))
+    messages.coalesce(1).write.text(str(tmp_path / "in"))
+    holder, stop, metrics = SnapshotHolder(), StopWords(), Metrics()
+    stop.add("q2")
+    stream = decode_json(spark.readStream.text(str(tmp_path / "in")))
+    path = str(tmp_path / "panes")
+    query = start(stream, Config(), path, str(tmp_path / "state"), holder, stop, metrics, clock=lambda: NOW, wall_clock=False, availableNow=True)
+    query.awaitTermination(120)
+    service = Service(holder, stop, metrics)
+    status, body = service.handle("GET", "/api/v1/trending", {"limit": "5"})
+    want = trending(good, NOW, Config(), stop.table(spark)).collect()
+    assert status == 200 and [(x["query"], x["count"]) for x in body["data"]] == [(r.query, r["count"]) for r in want]
+    assert metrics.value("trending_snapshot_size") == 2 and metrics.value("trending_stoplist_size") == 1
+    assert expire_batches(spark, path, NOW - 600 * S) == 0
+    assert expire_batches(spark, path, NOW + 600 * S) >= 1 and read_panes(spark, path).count() == 0
+    assert expire_batches(spark, str(tmp_path / "nothing"), NOW) == 0
+
+
+def test_command_line(spark, tmp_path):
+    from crestline.__main__ import main
+
+    main(["generate", str(tmp_path / "made"), "--rps", "50", "--duration", "4", "--bot-share", "0.5"])
+    made = decode_json(spark.read.text(str(tmp_path / "made")))
+    assert made.count() == 200 and made.where("malformed").count() == 0
+
+
+def test_logging(capsys):
+    import json as j
+
+    from crestline.logs import configure
+
+    log = configure("warn", "json")
+    log.info("quiet")
+    log.warning("loud %s", "é")
+    lines = capsys.readouterr().err.strip().splitlines()
+    assert [j.loads(x)["msg"] for x in lines] == ["loud é"]
+    configure()
