@@ -8,7 +8,9 @@ its units' vectors, own and context, over its whole text.
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 
 from crestline.llm.training import SLICE, Adam, fit_temperature, labelled_sample, remainder, segments, sigmoid, text_batches, text_of_word, words_of
 
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 5000
 TRAIN_CHARS = 100_000
+#: bytes of text whose words are held at once while fitting
+FIT_BYTES = 1 << 20
 DIM = 48
 NONZERO = 4
 WINDOW = 2
@@ -103,31 +107,34 @@ def score(model: Model, texts: pa.Array) -> np.ndarray:
 
 def word_vectors(texts: pa.Array, dim: int = DIM, max_units: int = MAX_UNITS, min_count: int = MIN_COUNT) -> tuple[dict[str, int], np.ndarray]:
     """Units of the texts and their vectors: own index vector, and the normalised sum of the neighbours' ones."""
-    numbers, words, starts = words_of(texts, lower=False, trim=None)
-    count = np.bincount(numbers, minlength=len(words))
-    names = words.to_pylist()
-    top = np.lexsort((np.arange(len(count)), -count))[: max_units // 2]
+    count: Counter[str] = Counter()
+    for part in text_batches(texts, FIT_BYTES):
+        numbers, words, _ = words_of(part, lower=False, trim=None)
+        count.update(dict(zip(words.to_pylist(), np.bincount(numbers, minlength=len(words)).tolist(), strict=True)))
+    top = heapq.nsmallest(max_units // 2, ((-n, w) for w, n in count.items() if n >= min_count))
     units = {REPEAT: 0}
-    for i in top:
-        if count[i] >= min_count:
-            units.setdefault(names[i], len(units))
-    shapes: dict[str, int] = {}
-    for i, w in enumerate(names):
+    for _, w in top:
+        units.setdefault(w, len(units))
+    shapes: Counter[str] = Counter()
+    for w, n in count.items():
         if w not in units:
-            shapes[s] = shapes.get(s := "shape " + shape(w), 0) + int(count[i])
+            shapes["shape " + shape(w)] += n
+    count.clear()
     for s, _ in sorted(shapes.items(), key=lambda x: (-x[1], x[0]))[: max_units // 2]:
         units.setdefault(s, len(units))
-    of_position = _numbers(numbers, starts, _units_of(words, units), units[REPEAT])
     n = len(units) + 1
     own = np.stack([index_vector(u, dim) for u in (*units, "<unknown>")])
-    owner, context = text_of_word(starts), np.zeros((n, dim))
-    for step in range(1, WINDOW + 1):
-        a, b = of_position[:-step], of_position[step:]
-        inside = owner[:-step] == owner[step:]
-        pairs, times = np.unique(a[inside] * n + b[inside], return_counts=True)
-        left, right = np.divmod(pairs, n)
-        np.add.at(context, left, own[right] * times[:, None])
-        np.add.at(context, right, own[left] * times[:, None])
+    context = np.zeros((n, dim))
+    for part in text_batches(texts, FIT_BYTES):
+        numbers, words, starts = words_of(part, lower=False, trim=None)
+        of_position, owner = _numbers(numbers, starts, _units_of(words, units), units[REPEAT]), text_of_word(starts)
+        for step in range(1, WINDOW + 1):
+            a, b = of_position[:-step], of_position[step:]
+            inside = owner[:-step] == owner[step:]
+            pairs, times = np.unique(a[inside] * n + b[inside], return_counts=True)
+            left, right = np.divmod(pairs, n)
+            np.add.at(context, left, own[right] * times[:, None])
+            np.add.at(context, right, own[left] * times[:, None])
     context /= np.maximum(np.linalg.norm(context, axis=1), 1e-9)[:, None]
     return units, np.concatenate([own, context], axis=1).astype(np.float32)
 
@@ -148,7 +155,7 @@ def fit(sample: list[tuple[str, int]], seed: int = 11, hidden: int = HIDDEN, dim
         layers["w2"][:] = 0
         layers["b2"][:] = 0 if not len(y) else 4.0 if y[0] else -4.0
         return model
-    x = np.concatenate([features(model, part) for part in text_batches(texts)])
+    x = np.concatenate([features(model, part) for part in text_batches(texts, FIT_BYTES)])
     order = rng.permutation(len(y))
     held, train = order[: len(y) // 5], order[len(y) // 5 :]
     mean, scale = x[train].mean(0), x[train].std(0) + 1e-3
