@@ -96,27 +96,34 @@ _SPELLED = (
 
 
 def _homoglyphs() -> dict[str, str]:
-    """Lookalikes, invisible characters, decimal digits of any script and compatibility forms of one ASCII character."""
+    """Lookalikes, invisible characters, spaces, decimal digits of any script, compatibility forms of one ASCII character."""
     out = dict(_LOOKALIKES) | dict.fromkeys(_INVISIBLE, "")
     for code in [*range(0x80, 0x3000), *range(0xFE50, 0x10000), *range(0x1D400, 0x1D800)]:
         c = chr(code)
         if (digit := unicodedata.decimal(c, None)) is not None:
             out[c] = str(digit)
-        elif unicodedata.category(c)[0] in "LNP" and len(plain_form := unicodedata.normalize("NFKC", c)) == 1 and "!" <= plain_form <= "~":
+        elif unicodedata.category(c) == "Zs":
+            out[c] = " "
+        elif unicodedata.category(c)[0] in "LNPS" and len(plain_form := unicodedata.normalize("NFKC", c)) == 1 and "!" <= plain_form <= "~":
             out[c] = plain_form
     return out
 
 
 _HOMOGLYPHS = _homoglyphs()
-_DIGIT_OF = {w: str(i) for line in _SPELLED for i, w in enumerate(line.split())}
-_DIGIT_WORD = "(?:" + "|".join(sorted(_DIGIT_OF, key=len, reverse=True)) + ")"
-_DIGIT_RUN = re.compile(rf"(?<!\w){_DIGIT_WORD}(?:[\s,.-]+{_DIGIT_WORD}){{3,}}(?!\w)", re.I)
-_DIGIT_ONE = re.compile(_DIGIT_WORD, re.I)
+_DIGIT_OF = {w: str(i) for line in _SPELLED for i, w in enumerate(line.split())} | {"oh": "0"}
 _AT_WORD, _DOT_WORD = "(?:at|arroba|arobase)", "(?:dot|punkt|punto|point)"
+_DIGIT_WORD = "(?:" + "|".join(sorted(_DIGIT_OF, key=len, reverse=True)) + ")"
+_DIGIT_RUN = re.compile(rf"(?<!\w)(?:(?:plus|más)\s+)?{_DIGIT_WORD}(?:[\s,.-]+(?:{_DOT_WORD}\s+)?{_DIGIT_WORD})+(?!\w)", re.I)
+_DIGIT_ONE = re.compile(rf"(?<!\w)(?:{_DIGIT_WORD}|{_DOT_WORD}|plus|más)(?!\w)", re.I)
 _BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:({_AT_WORD}|@)|({_DOT_WORD}|\.))\s*[\])}}>]\s*", re.I)
 _NAME = "[A-Za-z0-9_%+-]+"
 _BARE = re.compile(rf"(?<![A-Za-z0-9_%+.-])({_NAME}(?:(?:\.|\s+{_DOT_WORD}\s+){_NAME})*)(\s+{_AT_WORD}\s+|@)({_NAME}(?:(?:\.|\s+{_DOT_WORD}\s+){_NAME})+)", re.I)
 _BARE_DOT = re.compile(rf"\s+{_DOT_WORD}\s+", re.I)
+_NUMBER_DOT = re.compile(rf"(?<=[0-9])\s+{_DOT_WORD}\s+(?=[0-9])", re.I)
+_JOINED = re.compile(rf"(?<![A-Za-z0-9_*-])[A-Za-z0-9.%+]+([_*-]{_AT_WORD}[_*-])([A-Za-z0-9]+(?:[_*-]{_DOT_WORD}[_*-][A-Za-z0-9]+)+)", re.I)
+_JOINED_DOT = re.compile(rf"[_*-]{_DOT_WORD}[_*-]", re.I)
+_ENCODED = re.compile(r"&(?:#0*64|#x0*40|commat);|(?<=[A-Za-z0-9])%40(?=[A-Za-z0-9])|(&(?:#0*46|#x0*2e|period);)", re.I)
+_SPACED = re.compile(r"(?<=[A-Za-z0-9])( +@ *| *@ +)(?=[A-Za-z0-9-]+ *\. *[A-Za-z0-9])|(?<=[A-Za-z0-9]@)[A-Za-z0-9-]+( +\. *| *\. +)(?=[A-Za-z0-9])")
 _HINTS = ("dot", "punkt", "punto", "point", "at]", "at)", "at}", "at>", "at ]", "at )", "arroba", "arobase", "@]", "@)", ".]", ".)")
 
 Edit = tuple[int, int, str]
@@ -170,8 +177,25 @@ def _bare_edits(text: str) -> list[Edit]:
     return out
 
 
+def _joined_edits(text: str) -> list[Edit]:
+    out: list[Edit] = []
+    for m in _JOINED.finditer(text):
+        out += [(*m.span(1), "@"), *((m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in _JOINED_DOT.finditer(m.group(2)))]
+    return out
+
+
+def _encoded_edits(text: str) -> list[Edit]:
+    return [(m.start(), m.end(), "." if m.group(1) else "@") for m in _ENCODED.finditer(text)]
+
+
+def _spaced_edits(text: str) -> list[Edit]:
+    return [(*m.span(1), "@") if m.group(1) else (*m.span(2), ".") for m in _SPACED.finditer(text)]
+
+
 def _digit_edits(text: str) -> list[Edit]:
-    return [(m.start(), m.end(), "".join(_DIGIT_OF[d.lower()] for d in _DIGIT_ONE.findall(m.group()))) for m in _DIGIT_RUN.finditer(text)]
+    """Runs of spelled digits; a word for plus may begin a run and words for a dot may part it."""
+    digit = lambda w: _DIGIT_OF.get(w, "+" if w in ("plus", "más") else ".")
+    return [(m.start(), m.end(), "".join(digit(w.lower()) for w in _DIGIT_ONE.findall(m.group()))) for m in _DIGIT_RUN.finditer(text)]
 
 
 def normalise(text: str) -> list[Rewritten]:
@@ -189,6 +213,13 @@ def normalise(text: str) -> list[Rewritten]:
     if any(h in low for h in _HINTS):
         step(_bracket_edits(text))
         step(_bare_edits(text))
+        step(_joined_edits(text))
+        step([(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(text)])
+    if "&#" in text or "%40" in text or "&commat" in text or "&period" in text:
+        step(_encoded_edits(text))
+    if " @" in text or "@ " in text or "@" in text and " ." in text:
+        step(_spaced_edits(text))
+        step(_spaced_edits(text))
     if not _DIGIT_OF.keys().isdisjoint(low.replace("-", " ").replace(",", " ").replace(".", " ").split()):
         step(_digit_edits(text))
     return done

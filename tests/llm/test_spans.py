@@ -52,6 +52,10 @@ def test_base_spans_fuzzed(seed):
         ("mail jane [at] mail [dot] example.com now", "jane [at] mail [dot] example.com"), ("bob at mail dot example dot org", "bob at mail dot example dot org"),
         ("x ｊａｎｅ＠ｍａｉｌ．ｃｏｍ y", "ｊａｎｅ＠ｍａｉｌ．ｃｏｍ"), ("аnn@mail.com", "аnn@mail.com"), ("a​nn@ma​il.com", "a​nn@ma​il.com"), ("me (at) web{dot}de", "me (at) web{dot}de"),
         ("call +1 four one five five five five one two one two.", "+1 four one five five five five one two one two"), ("42 [dot] 144 [dot] 35 [dot] 254", "42 [dot] 144 [dot] 35 [dot] 254"),
+        ("call plus four nine one seven one two three four five six seven eight", "plus four nine one seven one two three four five six seven eight"), ("＋1 415 555 2671 ok", "＋1 415 555 2671"),
+        ("at one nine two dot one six eight dot one dot one", "one nine two dot one six eight dot one dot one"), ("192 dot 168 dot 1 dot 1", "192 dot 168 dot 1 dot 1"), ("+1\u00a0415\u00a0555\u00a02671", "+1\u00a0415\u00a0555\u00a02671"),
+        ("jane_at_mail_dot_com", "jane_at_mail_dot_com"), ("joe&#64;mail&#46;com", "joe&#64;mail&#46;com"), ("joe%40mail.com", "joe%40mail.com"), ("ann @ mail . com", "ann @ mail . com"), ("+1 four one five 555 2671", "+1 four one five 555 2671"),
+        ("four five three nine five seven eight seven six three six two one four eight six", "four five three nine five seven eight seven six three six two one four eight six"),
         ("+49 eins zwei drei vier fünf sechs sieben acht neun null", "+49 eins zwei drei vier fünf sechs sieben acht neun null"),
     ],
 )
