@@ -69,11 +69,15 @@ def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(1)
     rows = sorted([(f"u:{rng.randrange(5)}", f"q{rng.randrange(3)}", rng.randrange(1000, 1600)) for _ in range(400)], key=lambda x: x[2])
     df = frame(spark, rows).selectExpr("*", "timestamp_micros(ts_us) as timestamp")
-    for k in range(4):  # four files, one micro-batch each
-        df.where(f"event_id >= '{k * 100:06d}' and event_id < '{k * 100 + 100:06d}'").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    out = drop_repeats_stream(stream, ROT, R, "10 minutes")
-    query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    def run(files):  # each file is a micro-batch; state and offsets outlive the query
+        for k in files:
+            df.where(f"event_id >= '{k * 100:06d}' and event_id < '{k * 100 + 100:06d}'").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        out = drop_repeats_stream(stream, ROT, R, "10 minutes")
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+
+    run([0, 1])
+    run([2, 3])
     got = {r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r.event_id for r in drop_repeats(df, ROT, R).collect()}

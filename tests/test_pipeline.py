@@ -128,3 +128,14 @@ def test_logging(capsys):
     lines = capsys.readouterr().err.strip().splitlines()
     assert [j.loads(x)["msg"] for x in lines] == ["loud é"]
     configure()
+
+
+def test_replayed_batch_counts_once(spark, tmp_path):
+    from crestline.streaming.trending import pane_sink
+
+    sink, path = pane_sink(str(tmp_path / "panes"), 10 * S), str(tmp_path / "panes")
+    batch = spark.createDataFrame([("a", NOW), ("a", NOW + S), ("b", NOW)], "query string, ts_us long")
+    sink(batch, 0)
+    sink(batch, 0)
+    sink(batch.limit(1), 1)
+    assert {r.query: r.cnt for r in read_panes(spark, path).collect()} == {"a": 3, "b": 1}
