@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
-from crestline.llm.neardup import drop_near_duplicates, jaccard, shingle_set
+from crestline.llm import neardup
+from crestline.llm.neardup import drop_near_duplicates, jaccard, shared_counts, shingle_set
 from crestline.llm.simhash import words_of
 
 
@@ -66,3 +68,13 @@ def test_edges(spark):
     assert drop_near_duplicates(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f g", 1), (1, "a b c d e f g", 1)], "doc_id long, text string, k1 long")
     assert drop_near_duplicates(twice).count() == 1
+
+
+def test_shared_counts(monkeypatch):
+    rng = np.random.default_rng(0)
+    rows, columns = ([np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(n)] for n in (7, 9))
+    want = [[len(np.intersect1d(a, b)) for b in columns] for a in rows]
+    assert shared_counts(rows, columns).tolist() == want
+    monkeypatch.setattr(neardup, "COLUMNS_AT_ONCE", 5)
+    assert shared_counts(rows, columns).tolist() == want
+    assert shared_counts([], columns).shape == (0, 9) and not shared_counts(rows[:1], [np.zeros(0, np.int64)]).any()
