@@ -7,6 +7,7 @@ key phrases must stand there. IDF is counted over all files.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -85,15 +86,16 @@ class TemplateIndex:
     def matches(self, words: list[bytes]) -> list[Match]:
         if self.keys.isdisjoint(words):
             return []
-        ranked = sorted(self.postings.keys() & set(words), key=lambda w: (-self.idf[w], w))
+        present = self.postings.keys() & set(words)
+        # of each template the file's rarest words, so that one licence in a file does not hide another
+        chosen = [set(heapq.nsmallest(self.rare, present.intersection(t), key=lambda w: (-self.idf[w], w))) for t in self.words]
         best: dict[str, Match] = {}
-        # the rarest words first; the rest only while a template's rarest words are not covered
-        chosen = set(ranked[: self.rare])
         votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
         for i, w in enumerate(words):
-            if w in chosen:
+            if w in present:
                 for t, p in self.postings[w]:
-                    votes[t, i - p].add(w)
+                    if w in chosen[t]:
+                        votes[t, i - p].add(w)
         for (t, at), agreed in sorted(votes.items()):
             template = self.words[t]
             if len(agreed) < min(2, len(set(template))):

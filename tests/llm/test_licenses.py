@@ -45,6 +45,11 @@ def test_changed_and_missing_words():
     assert index().matches(words_of(b"redistribution of the license in this work")) == []
 
 
+def test_many_licences_in_one_file():
+    text = " and then ".join(t for _, t, _ in TEMPLATES)
+    assert {m.label for m in index().matches(words_of(text.encode()))} == {label for label, _, _ in TEMPLATES}
+
+
 def test_frames(spark):
     gpl = "This work is licensed under the GNU General Public License, version 3."
     rows = [(1, "a MIT License b mit  license", 0.5), (2, None, 0.1), (3, "", 0.1), (4, f"x {gpl}", 0.1), (4, f"x {gpl}", 0.1), (None, "Licensed under CC BY-NC 4.0.", 0.0), (5, "plain " * 50_000, 0.0)]
