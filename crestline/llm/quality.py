@@ -102,7 +102,7 @@ def _logits(model: Model, x: np.ndarray) -> np.ndarray:
 
 
 def score(model: Model, texts: pa.Array) -> np.ndarray:
-    return sigmoid(_logits(model, features(model, texts)) / model.temperature)
+    return np.round(sigmoid(_logits(model, features(model, texts)) / model.temperature), 9)
 
 
 def word_vectors(texts: pa.Array, dim: int = DIM, max_units: int = MAX_UNITS, min_count: int = MIN_COUNT) -> tuple[dict[str, int], np.ndarray]:
@@ -136,7 +136,7 @@ def word_vectors(texts: pa.Array, dim: int = DIM, max_units: int = MAX_UNITS, mi
             np.add.at(context, left, own[right] * times[:, None])
             np.add.at(context, right, own[left] * times[:, None])
     context /= np.maximum(np.linalg.norm(context, axis=1), 1e-9)[:, None]
-    return units, np.concatenate([own, context], axis=1).astype(np.float32)
+    return units, np.concatenate([own, context], axis=1)  # double, so that sums do not depend on slices
 
 
 def fit(sample: list[tuple[str, int]], seed: int = 11, hidden: int = HIDDEN, dim: int = DIM) -> Model:

@@ -98,11 +98,12 @@ def _languages(numbers: np.ndarray, words: pa.Array, starts: np.ndarray) -> np.n
 
 def _pooled(model: Model, numbers: np.ndarray, words: pa.Array, starts: np.ndarray) -> np.ndarray:
     """(texts, widths * filters) maxima of the filters' positive responses over every window of each whole text."""
-    vectors = model.table[hash_words(words, len(model.table))].mean(1)
+    # products in double precision, so that a word's response does not depend on the words that it is computed with
+    vectors = model.table[hash_words(words, len(model.table))].mean(1).astype(np.float64)
     owner = text_of_word(starts)
     out = []
     for width, f in model.filters.items():
-        projected = [(vectors @ f[j]).astype(np.float32) for j in range(width)]
+        projected = [(vectors @ f[j].astype(np.float64)).astype(np.float32) for j in range(width)]
         best = np.zeros((len(starts) - 1, f.shape[2]), np.float32)
         for lo in range(0, len(numbers) - width + 1, SLICE):
             hi = min(lo + SLICE, len(numbers) - width + 1)
@@ -119,12 +120,13 @@ def _pooled(model: Model, numbers: np.ndarray, words: pa.Array, starts: np.ndarr
 
 def logits_of(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     numbers, words, starts = words_of(texts, lower=True, trim=TRIM)
-    return _pooled(model, numbers, words, starts) @ model.out + model.bias, _languages(numbers, words, starts)
+    pooled = _pooled(model, numbers, words, starts).astype(np.float64)
+    return (pooled * model.out).sum(1) + model.bias, _languages(numbers, words, starts)
 
 
 def score(model: Model, texts: pa.Array) -> np.ndarray:
     logits, languages = logits_of(model, texts)
-    return sigmoid((logits - model.thresholds[languages]) / model.temperature)
+    return np.round(sigmoid((logits - model.thresholds[languages]) / model.temperature), 9)
 
 
 def fit(sample: list[tuple[str, int]], seed: int = 5, epochs: int = EPOCHS, buckets: int = BUCKETS, dim: int = DIM, n_filters: int = FILTERS, widths: tuple[int, ...] = WIDTHS) -> Model:
