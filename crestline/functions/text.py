@@ -10,24 +10,49 @@ _SPACES = "\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\
 _SPACE = f"[{_SPACES}]"
 
 
+#: The same characters one by one.
+_SPACE_CHARS = [chr(c) for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def _edge(c: Column, at: int) -> Column:
+    return F.substring(c, at, 1).isin(_SPACE_CHARS)
+
+
 def trim_space(c: Column) -> Column:
-    """Without Unicode white space at both ends; null becomes empty."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), f"^{_SPACE}+|{_SPACE}+\\z", "")
+    """Without Unicode white space at both ends; null becomes empty. Only texts with some at an end are matched."""
+    c = F.coalesce(c, F.lit(""))
+    return F.when(_edge(c, 1) | _edge(c, -1), F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+\\z", "")).otherwise(c)
 
 
 def is_blank(c: Column) -> Column:
-    """Whether nothing but white space is there: a search for one other character, cheaper than trimming."""
-    return ~F.coalesce(c, F.lit("")).rlike(f"[^{_SPACES}]")
+    """Whether nothing but white space is there. Only texts that begin with some are searched."""
+    c = F.coalesce(c, F.lit(""))
+    return F.when(c == "", True).when(_edge(c, 1), ~c.rlike(f"[^{_SPACES}]")).otherwise(False)
 
 
 def lower(c: Column) -> Column:
     """Lower case by simple mapping: capital I with a dot becomes a plain i, not two code points."""
-    return F.lower(F.translate(F.coalesce(c, F.lit("")), "İ", "i"))
+    c = F.coalesce(c, F.lit(""))
+    return F.lower(F.when(F.contains(c, F.lit("İ")), F.translate(c, "İ", "i")).otherwise(c))
+
+
+def collapse(c: Column) -> Column:
+    """Each run of space, tab, LF and CR one space; other white space stays. Only texts with such a run are rewritten."""
+    runs = F.contains(c, F.lit("  "))
+    for other in "\t\n\r":
+        runs = runs | F.contains(c, F.lit(other))
+    return F.when(runs, F.regexp_replace(c, "[ \\t\\n\\r]+", " ")).otherwise(c)
 
 
 def normalize_query(c: Column) -> Column:
-    """Lower case, trimmed, and each run of space, tab, LF and CR one space; other inner white space stays."""
-    return F.regexp_replace(trim_space(lower(c)), "[ \\t\\n\\r]+", " ")
+    """Lower case, trimmed, runs of space, tab, LF and CR one space."""
+    return collapse(trim_space(lower(c)))
+
+
+def normalized_length(c: Column) -> Column:
+    """Characters of normalize_query(c), in few operations on one line of code: for rare use inside large expressions."""
+    bare = F.regexp_replace(F.lower(F.translate(F.coalesce(c, F.lit("")), "İ", "i")), f"^{_SPACE}+|{_SPACE}+\\z", "")
+    return F.length(F.regexp_replace(bare, "[ \\t\\n\\r]+", " "))
 
 
 def normalize_stop_word(c: Column) -> Column:

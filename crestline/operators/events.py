@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.functions.text import identity, is_blank, micros, normalize_query, trim_space
+from crestline.functions.text import collapse, identity, is_blank, lower, micros, normalized_length, trim_space
 
 REASONS = ("empty_event_id", "empty_query", "invalid_utf8", "query_too_long", "no_identifier", "future_time", "stale_event")
 
 
 def normalize(events: DataFrame) -> DataFrame:
     """query normalised, user and session trimmed, event_id as it is; ``identity`` and ``ts_us`` added."""
-    out = events.withColumns({"event_id": F.coalesce("event_id", F.lit("")), "query": normalize_query(F.col("query")), "user_id": trim_space(F.col("user_id")), "session_id": trim_space(F.col("session_id"))})
-    return out.withColumns({"identity": identity(F.col("user_id"), F.col("session_id")), "ts_us": micros(F.col("timestamp"))})
+    # a step for each column that the next one uses more than once: Spark does not merge such projections
+    out = events.withColumns({"event_id": F.coalesce("event_id", F.lit("")), "query": lower(F.col("query")), "user_id": trim_space(F.col("user_id")), "session_id": trim_space(F.col("session_id"))})
+    out = out.withColumns({"query": trim_space(F.col("query")), "ts_us": micros(F.col("timestamp"))})
+    return out.withColumns({"query": collapse(F.col("query")), "identity": identity(F.col("user_id"), F.col("session_id"))})
 
 
 def reject_reason(now_us: Column, max_age_us: int = 300_000_000, max_chars: int = 256) -> Column:
@@ -27,7 +29,7 @@ def reject_reason(now_us: Column, max_age_us: int = 300_000_000, max_chars: int
         F.coalesce("event_id", F.lit("")) == "",
         is_blank(query),
         ~F.is_valid_utf8(query),
-        (F.length(query) > max_chars) & (F.length(normalize_query(query)) > max_chars),
+        (F.length(query) > max_chars) & (normalized_length(query) > max_chars),
         is_blank(F.col("user_id")) & is_blank(F.col("session_id")),
         ts > now_us,
         ts.isNull() | (now_us - ts > max_age_us),
