@@ -78,3 +78,29 @@ def test_shared_counts(monkeypatch):
     monkeypatch.setattr(neardup, "COLUMNS_AT_ONCE", 5)
     assert shared_counts(rows, columns).tolist() == want
     assert shared_counts([], columns).shape == (0, 9) and not shared_counts(rows[:1], [np.zeros(0, np.int64)]).any()
+
+
+def test_passages_against_brute_force(spark):
+    rng, rows = random.Random(8), []
+    for _ in range(12):
+        base, more = text(rng, 200), text(rng, 30)
+        k = rng.randrange(20, 150)
+        rows += [base, base + more, base[:k] + more + base[k:], base[:k] + base[k + 24 :], base[:-30]]
+        short = text(rng, 17)
+        rows += [short, short[:-2]]
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(brute_keep(rows)) == 24
+    assert sorted(map(tuple, drop_near_duplicates(df).collect()), key=str) == brute_keep(rows)
+
+
+def test_bands_meet_whatever_the_edit():
+    rng = random.Random(9)
+    for _ in range(300):
+        n = rng.choice([4, 36, 400, 4000])
+        base = np.unique(np.array([rng.getrandbits(63) for _ in range(n)], np.int64))
+        less = base[: -(-len(base) * 4 // 5)]
+        assert jaccard(base, less) >= 0.8 or n < 5
+        assert jaccard(base, less) < 0.8 or (neardup.band_keys(base) == neardup.band_keys(less)).any()
+    assert len(neardup.band_keys(np.zeros(0, np.int64))) == neardup.BANDS
