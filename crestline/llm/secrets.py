@@ -1,7 +1,7 @@
 """Secrets in whole texts: known forms, and random strings that a public tokenizer needs many tokens for.
 
 A merge vocabulary spells words in few tokens and random strings in many. Runs of token characters with a low ratio of
-characters to tokens are reported, once digests, UUIDs, addresses and identifiers made of words are set aside.
+characters to tokens are reported, once digests, UUIDs, addresses, paths and identifiers made of words are set aside.
 """
 
 from __future__ import annotations
@@ -48,11 +48,17 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _path(run: str) -> bool:
+    """More than two slashes, and most of the segments between them are words or identifiers; base64 holds slashes too."""
+    segments = [x for x in run.split("/") if x]
+    return run.count("/") > 2 and bool(_WORDY.search(run)) and 2 * sum(bool(_IDENTIFIER.match(x)) for x in segments) > len(segments)
+
+
 def _known(run: str, before: str) -> bool:
     """Digests and identifiers, which are no secrets however random they look."""
     if _UUID.fullmatch(run) or (_HEX_ONLY.match(run) and len(run) in _DIGEST_LENGTHS) or _DIGEST_LABEL.search(before):
         return True
-    if "://" in before[-12:] or run.count("/") > 2 and _WORDY.search(run):
+    if "://" in before[-12:] or _path(run):
         return True
     if not any(c.isdigit() for c in run) and (run.islower() or run.isupper() or run[1:].islower()):
         return True
