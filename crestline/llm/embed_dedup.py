@@ -2,7 +2,7 @@
 
 A pass orders all vectors lexicographically by the concatenated signs of random projections and compares each with a
 bounded window of its neighbours; pairs verified by cosine are joined across passes. The number of passes follows from
-the number of vectors, the window and the recall asked for at the threshold itself. Links are then counted exactly
+the number of vectors, the window, the recall asked for at the threshold itself and how dense the cells of a sample are. Links are then counted exactly
 within each component, without listing pairs: vectors within half the threshold's angle of the component's leader are
 all linked to each other, and only the others are compared, block by block.
 """
@@ -25,6 +25,9 @@ WINDOW = 1024
 BITS = 60
 RECALL = 0.999
 PASSES_AT_ONCE = 4
+MAX_PASSES = 128
+TRIALS = 3
+SAMPLE = 1 << 16
 ROWS_PER_TASK = 1 << 15
 BLOCK = 2048
 _CHUNK = 512
@@ -41,6 +44,27 @@ def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recal
     return max(2, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
+def passes_measured(codes: list[np.ndarray], n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
+    """As passes_for, from how many leading signs cells of at most ``window`` rows have around the densest tenth of rows.
+
+    codes: those of a sample of the n vectors, an array for each trial pass. Vectors in one cone agree on most signs, so
+    that a pair must agree on far more of them before no more than a window lies between the two.
+    """
+    rows = max(1, window * len(codes[0]) // max(n, 1))
+    if len(codes[0]) <= rows:
+        return 2
+    same, meet = 1 - math.acos(threshold) / math.pi, np.zeros(len(codes[0]))
+    for code in codes:
+        order = np.argsort(code, kind="stable")
+        apart = code[order][rows:] ^ code[order][:-rows]
+        shared = BITS - np.ceil(np.log2(apart.astype(np.float64) + 1)).astype(np.int64)
+        around = np.concatenate([np.full(rows, -1), shared, np.full(rows, -1)])
+        depth = 1 + np.lib.stride_tricks.sliding_window_view(around, rows + 1).max(1)
+        meet[order] += same ** np.minimum(np.maximum(depth, 1), BITS) / len(codes)
+    densest = np.sort(meet)[: max(1, len(meet) // 10)].mean()
+    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - densest)))
+
+
 def _valid(v: Column) -> Column:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
@@ -103,8 +127,13 @@ def _window_scan(threshold: float, window: int):
 
 def _pass_links(nodes: DataFrame, n: int, threshold: float, window: int, recall: float) -> DataFrame | None:
     """(a, b) links found in all passes over (node, vector), written a few passes at a time."""
-    total, found = passes_for(n, threshold, window, recall), None
-    kind = nodes.schema["vector"].dataType.simpleString()
+    kind, found = nodes.schema["vector"].dataType.simpleString(), None
+    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(math.ceil(n / SAMPLE))) == 0)
+    trial = sample.mapInArrow(_codes(range(TRIALS)), f"pass int, code long, node long, vector {kind}").select("pass", "code", "node").toArrow().sort_by("node")
+    trial_pass, trial_code = (trial[c].to_numpy() for c in ("pass", "code"))
+    total = passes_for(n, threshold, window, recall)
+    if len(trial_code):
+        total = max(total, min(MAX_PASSES, passes_measured([trial_code[trial_pass == p] for p in range(TRIALS)], n, threshold, window, recall)))
     for lo in range(0, total, PASSES_AT_ONCE):
         passes = range(lo, min(lo + PASSES_AT_ONCE, total))
         rows = nodes.mapInArrow(_codes(passes), f"pass int, code long, node long, vector {kind}")

@@ -41,3 +41,22 @@ def test_edges(spark):
 def test_more_vectors_need_more_passes():
     assert passes_for(1) == 2 or passes_for(1) > 0
     assert passes_for(10_000) < passes_for(10_000_000)
+
+
+def test_hot_cone_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    axis, n, d = unit(rng.normal(size=256)), 6000, 256
+    cone = unit(axis * 0.8**0.5 + unit(rng.normal(size=(n // 3, d))) * 0.2**0.5)
+    aside = unit(rng.normal(size=(300, d)))
+    aside = unit(aside - (aside * cone[:300]).sum(1)[:, None] * cone[:300])
+    pairs = cone[:300] * 0.905 + aside * (1 - 0.905**2) ** 0.5
+    x = np.concatenate([cone, pairs, unit(rng.normal(size=(n - n // 3, d)))])
+    links, root = brute(x)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in embedding_components(df, window=32).collect()}
+    linked = [i for i in range(len(x)) if root[i] != i]
+    assert len(linked) >= 300
+    missed = sum(got[i] != root[i] for i in linked)
+    print("linked", len(linked), "missed", missed)
+    assert missed <= 0.01 * len(linked)
