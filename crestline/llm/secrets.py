@@ -1,7 +1,8 @@
 """Secrets in whole texts: known forms, and random strings that a public tokenizer needs many tokens for.
 
 A merge vocabulary spells words in few tokens and random strings in many. Runs of token characters with a low ratio of
-characters to tokens are reported, once digests, UUIDs, addresses, paths and identifiers made of words are set aside.
+characters to tokens are reported, once digests, UUIDs, addresses, numbers, and paths and identifiers made of words that
+the vocabulary knows are set aside.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from crestline.llm.common import env_path
-from crestline.llm.spans import Span, ordered, overlapping, scan_texts
+from crestline.llm.spans import Span, ordered, scan_texts
 
 KINDS = ("assign", "access", "hex", "random")
 VOCABULARY = env_path("CRESTLINE_TIKTOKEN", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 MAX_VOCABULARY_BYTES = 16 << 20
 MIN_RANDOM = 20
 MAX_CHARS_PER_TOKEN = 2.0
+LETTERS_MARGIN = 0.2
 
 _ASSIGN = re.compile(r"""(?ai:(?:password|passwd|secret|token|api_?key))["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -30,9 +32,12 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 _DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
-_DIGEST_LABEL = re.compile(r"(?i)(?:md5|sha-?(?:1|224|256|384|512)|digest|checksum|integrity)[\"']?\s*[:=-]\s*[\"']?\Z")
+_DIGEST_LABEL = re.compile(r"(?i)(?:md5|sha-?(?:1|224|256|384|512)|digest|checksum|integrity)[\"']?\s*[:=-]\s*[\"']?")
+_DIGEST_PREFIX = re.compile(r"(?i)(?:md5|sha-?(?:1|224|256|384|512))[_=-]")
+#: scheme, user information, then host and path, which name a place; what follows ? or # is no part of the name
+_ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^\s/?#@<>\"']*@)?([^\s?#<>\"']*)")
 _IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}|[/_=+-])+\Z")
-_WORDY = re.compile(r"[A-Za-z]{4,}")
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HEX_ONLY = re.compile(r"[0-9A-Fa-f]+\Z")
 
 
@@ -48,31 +53,46 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _path(run: str) -> bool:
-    """More than two slashes, and most of the segments between them are words or identifiers; base64 holds slashes too."""
+def _backed(run: str, count: Callable[[str], int], most: float) -> bool:
+    """An identifier at least half of which are words that the vocabulary spells in few tokens."""
+    words = [x for x in _PIECE.findall(run) if len(x) > 2]
+    return 2 * sum(map(len, words)) >= len(run) and bool(_IDENTIFIER.match(run)) and 2 * sum(len(x) for x in words if len(x) > most * count(x)) >= len(run)
+
+
+def _path(run: str, count: Callable[[str], int], most: float) -> bool:
+    """More than two slashes, and most of the segments are numbers or identifiers, some of them words; base64 holds slashes too."""
     segments = [x for x in run.split("/") if x]
-    return run.count("/") > 2 and bool(_WORDY.search(run)) and 2 * sum(bool(_IDENTIFIER.match(x)) for x in segments) > len(segments)
+    if run.count("/") <= 2 or 2 * sum(bool(_IDENTIFIER.match(x)) for x in segments) <= len(segments):
+        return False
+    return any(_backed(x, count, most) for x in segments) and 2 * sum(x.isdigit() or _backed(x, count, most) or len(x) < 4 for x in segments) > len(segments)
 
 
-def _known(run: str, before: str) -> bool:
-    """Digests and identifiers, which are no secrets however random they look."""
-    if _UUID.fullmatch(run) or (_HEX_ONLY.match(run) and len(run) in _DIGEST_LENGTHS) or _DIGEST_LABEL.search(before):
-        return True
-    if "://" in before[-12:] or _path(run):
-        return True
-    if not any(c.isdigit() for c in run) and (run.islower() or run.isupper() or run[1:].islower()):
+def _known(run: str, labelled: bool, count: Callable[[str], int], most: float) -> bool:
+    """Digests, numbers, paths and identifiers made of words, which are no secrets however random they look."""
+    if labelled or not any(map(str.isalpha, run)) or _UUID.fullmatch(run) or (_HEX_ONLY.match(run) and len(run) in _DIGEST_LENGTHS) or _DIGEST_PREFIX.match(run):
         return True
-    return run.isdigit() or bool(_IDENTIFIER.match(run)) and len("".join(_WORDY.findall(run))) >= len(run) // 2
+    return _path(run, count, most) or _backed(run, count, most)
 
 
 def random_spans(text: str, count: Callable[[str], int], taken: list[Span], most: float, least: int) -> list[Span]:
-    out = []
-    for m in _RUN.finditer(text):
-        run = m.group()
-        if len(run) < least or overlapping(taken, *m.span()) or _known(run, text[max(0, m.start() - 24) : m.start()]):
+    """Runs of token characters with at most ``most`` characters a token that overlap none of ``taken``, in one sweep.
+
+    A run of letters only must lie LETTERS_MARGIN below, as unknown words do not. Runs inside the host or path of an
+    address and those right behind a digest's label are set aside, however long the address or the gap is.
+    """
+    runs = [m.span() for m in _RUN.finditer(text) if m.end() - m.start() >= least]
+    if not runs:
+        return []
+    labels = {m.end() for m in _DIGEST_LABEL.finditer(text)}
+    places = [m.span(1) for m in _ADDRESS.finditer(text)] if "://" in text else []
+    aside, out, at, far = sorted([(x.start, x.end) for x in taken] + places), [], 0, -1
+    for start, end in runs:
+        while at < len(aside) and aside[at][0] < end:
+            far, at = max(far, aside[at][1]), at + 1
+        run = text[start:end]
+        if far > start or len(run) > (most - LETTERS_MARGIN * run.isalpha()) * count(run) or _known(run, start in labels, count, most):
             continue
-        if len(run) <= most * count(run):
-            out.append(Span("random", m.start(), m.end(), False, run))
+        out.append(Span("random", start, end, False, run))
     return out
 
 
@@ -104,8 +124,8 @@ def token_counter(data: bytes) -> Callable[[str], int]:
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = VOCABULARY, max_chars_per_token: float = MAX_CHARS_PER_TOKEN, min_random: int = MIN_RANDOM) -> DataFrame:
     """(doc_id, spans) for every row: kind, start, end, base, text; code points of the whole text.
 
-    Null and empty texts have no spans; repeated rows and null ids stay. Other columns are not read. The vocabulary
-    is broadcast: its size is fixed and checked.
+    Null and empty texts have no spans; repeated rows and null ids stay. Other columns are not read. Time and memory
+    follow a text's length, whatever it holds. The vocabulary is broadcast: its size is fixed and checked.
     """
     return scan_texts(docs, _scanner(docs.sparkSession, vocabulary_path, max_chars_per_token, min_random), id_col, text_col)
 
@@ -134,7 +154,11 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def redact_secrets(docs: DataFrame, vocabulary_path: str = VOCABULARY, max_chars_per_token: float = MAX_CHARS_PER_TOKEN, min_random: int = MIN_RANDOM) -> DataFrame:
-    """The rows of docs, all columns, with every secret in text replaced; n_chars, if there, is the new length."""
+    """The rows of docs, all columns, with every secret in text replaced; n_chars, if there, is the new length.
+
+    Null and empty texts stay as they are, and so do repeated rows, null ids and columns of any other name. An empty
+    table stays empty.
+    """
     scanner, at = _scanner(docs.sparkSession, vocabulary_path, max_chars_per_token, min_random), docs.columns.index("text")
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

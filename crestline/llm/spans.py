@@ -28,10 +28,6 @@ def ordered(spans: list[Span], kinds: tuple[str, ...]) -> list[Span]:
     return sorted(spans, key=lambda x: (x.start, kinds.index(x.kind), x.end))
 
 
-def overlapping(spans: list[Span], start: int, end: int, kind: str | None = None) -> bool:
-    return any(x.start < end and start < x.end and kind in (None, x.kind) for x in spans)
-
-
 def scan_texts(docs: DataFrame, scanner: Callable[[], Callable[[str], list[Span]]], id_col: str, text_col: str) -> DataFrame:
     """(doc_id, spans) for every row. scanner() is called once in each task and gives the function of a text."""
 
