@@ -1,8 +1,9 @@
 """Licence scan: phrases that name a licence, and a positional rare-token index over licence templates.
 
 The index maps each template word to its postings (template, position). A file looks up its highest-IDF licence words;
-postings that agree on the position relative to the file propose a template at an offset, and the template's mandatory
-key phrases must stand there. IDF is counted over all files.
+postings that agree on the position relative to the file propose a template at an offset, the template's mandatory key
+phrases must stand there, and most of its words must follow each other there, with a few words put in or left out. IDF
+is counted over all files.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +44,10 @@ TEMPLATES = (
 )
 RARE_WORDS = 12
 MIN_ALIGNED = 0.6
-SLACK = 2
+#: words that may be put in or left out: two, and one more for each eight words of the template
+SLACK, SLACK_WORDS = 2, 8
+#: words of a file whose postings are intersected at once
+_SLICE_WORDS = 1 << 15
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -67,6 +72,17 @@ def phrase_places(words: list[bytes], phrase: bytes) -> list[int]:
     return out
 
 
+def aligned_words(template: list[bytes], part: list[bytes]) -> int:
+    """The most words of the template that stand in part in the same order."""
+    best = np.zeros(len(part) + 1, np.int64)
+    coded = {w: i for i, w in enumerate(dict.fromkeys(template))}
+    numbers = np.array([coded.get(w, -1) for w in part], np.int64)
+    for w in template:
+        longer = np.concatenate([[0], best[:-1] + (numbers == coded[w])])
+        best = np.maximum.accumulate(np.maximum(best, longer))
+    return int(best[-1])
+
+
 class TemplateIndex:
     """Postings of template words, and the IDF by which a file's licence words are ranked."""
 
@@ -74,41 +90,52 @@ class TemplateIndex:
         self.words = [words_of(text.encode()) for _, text, _ in templates]
         self.labels = [label for label, _, _ in templates]
         self.phrases = [[b" ".join(words_of(p.encode())) for p in phrases] for _, _, phrases in templates]
-        self.rare, self.aligned, self.slack = rare, aligned, slack
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        #: a file that lacks one of these words lacks a mandatory phrase of the template
+        self.needed = [frozenset(w for p in phrases for w in p.split()) for phrases in self.phrases]
+        self.rare, self.aligned = rare, aligned
+        self.slack = [slack + len(words) // SLACK_WORDS for words in self.words]
+        self.postings: dict[bytes, dict[int, np.ndarray]] = defaultdict(dict)
         for t, words in enumerate(self.words):
-            for p, w in enumerate(words):
-                self.postings[w].append((t, p))
+            for w in set(words):
+                self.postings[w][t] = np.array([p for p, x in enumerate(words) if x == w], np.int64)
         self.idf = {w: math.log((files + 1) / (df.get(w, 0) + 1)) for w in self.postings}
-        #: each template's rarest words in the corpus; a file without any cannot hold a key phrase at an offset
-        self.keys = frozenset(w for words in self.words for w in sorted(set(words), key=lambda w: (-self.idf[w], w))[:3])
+
+    def offsets(self, words: list[bytes], t: int, chosen: set[bytes]) -> Iterator[int]:
+        """Offsets of template t, in order, at which two of the chosen words agree; a bounded number of words at a time."""
+        least, reach = min(2, len(set(self.words[t]))), len(self.words[t])
+        for lo in range(-reach, len(words), _SLICE_WORDS):
+            found = []
+            at: dict[bytes, list[int]] = defaultdict(list)
+            for i in range(max(0, lo), min(len(words), lo + _SLICE_WORDS + reach)):
+                if words[i] in chosen:
+                    at[words[i]].append(i)
+            for w, places in at.items():
+                found.append(np.unique(np.array(places, np.int64)[:, None] - self.postings[w][t]))
+            if found:
+                agreed, times = np.unique(np.concatenate(found), return_counts=True)
+                yield from agreed[(times >= least) & (agreed >= lo) & (agreed < lo + _SLICE_WORDS)].tolist()
 
     def matches(self, words: list[bytes]) -> list[Match]:
-        if self.keys.isdisjoint(words):
-            return []
+        """The best place of each label. A file's own words decide which templates are looked at, none is left out by rank."""
         present = self.postings.keys() & set(words)
-        # of each template the file's rarest words, so that one licence in a file does not hide another
-        chosen = [set(heapq.nsmallest(self.rare, present.intersection(t), key=lambda w: (-self.idf[w], w))) for t in self.words]
         best: dict[str, Match] = {}
-        votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-        for i, w in enumerate(words):
-            if w in present:
-                for t, p in self.postings[w]:
-                    if w in chosen[t]:
-                        votes[t, i - p].add(w)
-        for (t, at), agreed in sorted(votes.items()):
-            template = self.words[t]
-            if len(agreed) < min(2, len(set(template))):
-                continue
-            lo, hi = max(0, at - self.slack), at + len(template) + self.slack
-            part = b" " + b" ".join(words[lo:hi]) + b" "
-            if not all(b" " + p + b" " in part for p in self.phrases[t]):
-                continue
-            same = sum(0 <= at + p < len(words) and words[at + p] == w for p, w in enumerate(template))
-            score = same / len(template)
+        for t, template in enumerate(self.words):
             label = self.labels[t]
-            if score >= self.aligned and (label not in best or score > best[label].score):
-                best[label] = Match(label, max(0, at), score)
+            if not self.needed[t] <= present or label in best and best[label].score == 1.0:
+                continue
+            # of each template the file's rarest words, so that one licence in a file does not hide another
+            chosen = set(heapq.nsmallest(self.rare, present.intersection(template), key=lambda w: (-self.idf[w], w)))
+            slack, last = self.slack[t], None
+            for at in self.offsets(words, t, chosen):
+                part = words[max(0, at - slack) : at + len(template) + slack]
+                line = b" " + b" ".join(part) + b" "
+                if line == last or not all(b" " + p + b" " in line for p in self.phrases[t]):
+                    continue
+                score, last = aligned_words(template, part) / len(template), line
+                if score >= self.aligned and (label not in best or score > best[label].score):
+                    best[label] = Match(label, max(0, at), score)
+                    if score == 1.0:
+                        break
         return [best[label] for label in sorted(best)]
 
 
@@ -142,6 +169,7 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: doc_id, n_words, base (places of base phrases), matches (of the template index).
 
     Null and empty texts have no words and no matches; repeated rows and null ids stay; other columns are not read.
+    Very long texts are searched whole, a slice at a time, in memory that follows their length.
     """
     index_of = licence_statistics(docs, text_col, templates)
     shared = docs.sparkSession.sparkContext.broadcast(index_of)

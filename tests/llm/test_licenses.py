@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from crestline.llm.licenses import BASE_PHRASES, TEMPLATES, TemplateIndex, licence_digest, licence_scan, licence_statistics, phrase_places, words_of
+from crestline.llm.licenses import BASE_PHRASES, TEMPLATES, TemplateIndex, aligned_words, licence_digest, licence_scan, licence_statistics, phrase_places, words_of
 
 
 def brute_words(text):
@@ -50,6 +50,62 @@ def test_many_licences_in_one_file():
     assert {m.label for m in index().matches(words_of(text.encode()))} == {label for label, _, _ in TEMPLATES}
 
 
+def test_no_word_but_a_mandatory_one_is_needed():
+    isc = TEMPLATES[8][1].replace("copyright notice", "note").replace("copies", "ones")
+    assert [m.label for m in index().matches(words_of(isc.encode()))] == ["isc"]
+
+
+@pytest.mark.parametrize(("label", "text", "phrases"), TEMPLATES)
+def test_a_word_put_in_loses_no_label(label, text, phrases):
+    words = words_of(text.encode())
+    for k in range(1, len(words)):
+        now = [*words[:k], b"more", *words[k:]]
+        line = b" " + b" ".join(now) + b" "
+        if all(b" " + b" ".join(words_of(p.encode())) + b" " in line for p in phrases):
+            assert label in [m.label for m in index().matches(now)]
+
+
+def test_aligned_words_against_recursion():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ([rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(9))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        assert aligned_words(a, b) == table[-1][-1]
+
+
+def test_matches_against_every_offset():
+    """All templates at all offsets of short files, without index or ranking."""
+    rng, idx = random.Random(6), index()
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            words = words_of(rng.choice(TEMPLATES)[1].encode())
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = rng.choice([b"other", b"the"])
+            parts += [b"x"] * rng.randrange(5) + words
+        want = {}
+        for label, template, phrases, slack in zip(idx.labels, idx.words, idx.phrases, idx.slack, strict=True):
+            for at in range(-len(template), len(parts)):
+                part = parts[max(0, at - slack) : at + len(template) + slack]
+                if all(b" " + p + b" " in b" " + b" ".join(part) + b" " for p in phrases):
+                    score = aligned_words(template, part) / len(template)
+                    if score >= 0.6:
+                        want[label] = max(want.get(label, 0), score)
+        got = {m.label: m.score for m in idx.matches(parts)}
+        assert got.keys() <= want.keys() and all(got[k] <= want[k] + 1e-9 for k in got)
+        assert {k for k, s in want.items() if s >= 0.8} <= got.keys()
+
+
+def test_long_files():
+    rng = random.Random(3)
+    every = [w for t in index().words for w in t]
+    words = [rng.choice(every) for _ in range(400_000)] + words_of(TEMPLATES[7][1].encode())
+    assert "bsd" in [m.label for m in index().matches(words)]
+
+
 def test_frames(spark):
     gpl = "This work is licensed under the GNU General Public License, version 3."
     rows = [(1, "a MIT License b mit  license", 0.5), (2, None, 0.1), (3, "", 0.1), (4, f"x {gpl}", 0.1), (4, f"x {gpl}", 0.1), (None, "Licensed under CC BY-NC 4.0.", 0.0), (5, "plain " * 50_000, 0.0)]
