@@ -1,16 +1,22 @@
 """Embedding near-duplicates by sorted projection passes.
 
-A pass orders all vectors lexicographically by the concatenated signs of random projections and compares each with a
-bounded window of its neighbours; pairs verified by cosine are joined across passes. The number of passes follows from
-the number of vectors, the window, the recall asked for at the threshold itself and how dense the cells of a sample are. Links are then counted exactly
-within each component, without listing pairs: vectors within half the threshold's angle of the component's leader are
-all linked to each other, and only the others are compared, block by block.
+A pass orders all vectors lexicographically by concatenated random hashes and compares each with a bounded window of its
+neighbours; pairs verified by cosine are joined across passes. A hash is the random projection, of several, that a vector
+points along most, with its sign: two vectors at the threshold agree on one far more often than on as many bits of signs
+of single projections. The number of passes follows from the number of vectors, the window, the recall asked for at the
+threshold itself and how dense the cells of a sample are. The order is first taken over codes alone, which gives the
+places where it is cut; vectors then go straight to their piece, together with the window before it, so that links do
+not depend on the number of tasks. Links are then counted exactly within each component, without listing pairs: vectors
+within half the threshold's angle of the component's leader are all linked to each other, and only the others are
+compared, block by block.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,47 +28,86 @@ from crestline.llm.components import connected_components
 
 THRESHOLD = 0.9
 WINDOW = 1024
-BITS = 60
+#: projections that a hash may choose from, bits of a code, and hashes beyond those that even cells need
+WAYS, BITS, SPARE = (4, 8, 16, 32, 64), 62, 4
 RECALL = 0.999
 PASSES_AT_ONCE = 4
 MAX_PASSES = 128
 TRIALS = 3
 SAMPLE = 1 << 16
-ROWS_PER_TASK = 1 << 15
+ROWS_PER_TASK = 1 << 14
+#: pieces of one pass at most: beyond it pieces grow, so that the list of cuts stays small
+MAX_PIECES = 1 << 16
 BLOCK = 2048
+#: products this near to the threshold are summed again in one fixed order
+_DOUBT = 1e-9
 _CHUNK = 512
 _SEED = 20_240
 
 
-def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes after which a pair at the threshold has been within one window with probability ``recall``.
+@cache
+def agreement(threshold: float, ways: int) -> float:
+    """How often two vectors at the threshold agree on one hash, from a fixed sample of their projections."""
+    rng = np.random.default_rng(_SEED)
+    x = rng.normal(size=(1 << 15, ways))
+    y = threshold * x + math.sqrt(1 - threshold**2) * rng.normal(size=x.shape)
+    return float((_digit(x) == _digit(y)).mean())
 
-    Two vectors at angle t agree on a sign with probability 1 - t/pi, and must agree on about log2(n/window) + 1
-    signs to be sorted within a window of each other.
+
+def _digit(projected: np.ndarray) -> np.ndarray:
+    at = np.abs(projected).argmax(1)
+    return 2 * at + (np.take_along_axis(projected, at[:, None], 1)[:, 0] > 0)
+
+
+class Code(NamedTuple):
+    """How vectors are coded: projections of a hash, and hashes one behind the other."""
+
+    ways: int
+    digits: int
+
+    @property
+    def bits(self) -> int:
+        return (2 * self.ways - 1).bit_length()
+
+
+def code_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW) -> tuple[Code, float]:
+    """The code for n vectors, and how often it brings two vectors at the threshold within one window if cells are even.
+
+    They must agree on so many hashes that a cell of those that do has no more rows than a window.
     """
-    same = (1 - math.acos(threshold) / math.pi) ** max(1.0, math.log2(max(n, 1) / window) + 1)
-    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - same)))
+    best: tuple[float, Code] = (0.0, Code(WAYS[0], 1))
+    for ways in WAYS:
+        need = math.ceil(math.log(n / window, 2 * ways)) if n > window else 0
+        meet = agreement(threshold, ways) ** need
+        code = Code(ways, max(1, min(need + SPARE, BITS // (2 * ways - 1).bit_length())))
+        best = max(best, (meet, code), key=lambda x: x[0])
+    return best[1], best[0]
 
 
-def passes_measured(codes: list[np.ndarray], n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """As passes_for, from how many leading signs cells of at most ``window`` rows have around the densest tenth of rows.
+def passes_for(meet: float, recall: float = RECALL) -> int:
+    """Passes after which a pair has met with probability ``recall``, if it does in one with probability ``meet``."""
+    return 2 if meet >= 1 else max(2, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
-    codes: those of a sample of the n vectors, an array for each trial pass. Vectors in one cone agree on most signs, so
+
+def meeting(codes: list[np.ndarray], code: Code, n: int, threshold: float = THRESHOLD, window: int = WINDOW) -> float:
+    """How often a pair at the threshold meets in a pass, from how many leading hashes cells of at most ``window`` rows have
+    around the densest tenth of rows.
+
+    codes: those of a sample of the n vectors, an array for each trial pass. Vectors in one cone agree on most hashes, so
     that a pair must agree on far more of them before no more than a window lies between the two.
     """
     rows = max(1, window * len(codes[0]) // max(n, 1))
     if len(codes[0]) <= rows:
-        return 2
-    same, meet = 1 - math.acos(threshold) / math.pi, np.zeros(len(codes[0]))
-    for code in codes:
-        order = np.argsort(code, kind="stable")
-        apart = code[order][rows:] ^ code[order][:-rows]
-        shared = BITS - np.ceil(np.log2(apart.astype(np.float64) + 1)).astype(np.int64)
+        return 1.0
+    same, meet = agreement(threshold, code.ways), np.zeros(len(codes[0]))
+    for found in codes:
+        order = np.argsort(found, kind="stable")
+        apart = found[order][rows:] ^ found[order][:-rows]
+        shared = code.digits - np.ceil(np.ceil(np.log2(apart.astype(np.float64) + 1)) / code.bits).astype(np.int64)
         around = np.concatenate([np.full(rows, -1), shared, np.full(rows, -1)])
         depth = 1 + np.lib.stride_tricks.sliding_window_view(around, rows + 1).max(1)
-        meet[order] += same ** np.minimum(np.maximum(depth, 1), BITS) / len(codes)
-    densest = np.sort(meet)[: max(1, len(meet) // 10)].mean()
-    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - densest)))
+        meet[order] += same ** np.clip(depth, 1, code.digits) / len(codes)
+    return float(np.sort(meet)[: max(1, len(meet) // 10)].mean())
 
 
 def _valid(v: Column) -> Column:
@@ -79,67 +124,181 @@ def matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _codes(passes: range):
-    """Exploding (node, vector) into a row for each pass: (pass, code, node, vector)."""
+def near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x have a cosine of at least the threshold with which rows of y; both are unit rows.
+
+    A matrix product rounds differently by its shape, so products in doubt are summed again, term by term in one order:
+    the same two vectors always get the same answer.
+    """
+    product = x @ y.T
+    out = product >= threshold
+    i, j = np.nonzero(np.abs(product - threshold) <= _DOUBT)
+    for lo in range(0, len(i), 1 << 14):
+        a, b = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+        out[a, b] = (x[a] * y[b]).sum(1) >= threshold
+    return out
+
+
+def _planes(d: int, code: Code, passes: range) -> list[np.ndarray]:
+    return [np.random.default_rng(_SEED + p).normal(size=(d, code.digits * code.ways)) for p in passes]
+
+
+def _coded(batches: Iterator[pa.RecordBatch], code: Code, passes: range) -> Iterator[tuple[int, np.ndarray, pa.RecordBatch]]:
+    """(pass, codes, rows) for slices of (node, vector): the hashes of a code stand one behind the other, the first counts most."""
+    planes = None
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2048):
+            part = batch.slice(lo, 2048)
+            unit = matrix(part.column(1))
+            planes = planes or _planes(unit.shape[1], code, passes)
+            for p, plane in zip(passes, planes, strict=True):
+                projected, found = (unit @ plane).reshape(len(unit), code.digits, code.ways), np.zeros(len(unit), np.int64)
+                for k in range(code.digits):
+                    found = (found << code.bits) | _digit(projected[:, k])
+                yield p, found, part
+
+
+def _codes(code: Code, passes: range):
+    """(node, vector) into (pass, code, node) for each pass."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                unit = matrix(part.column(1))
-                if planes is None:
-                    planes = [np.random.default_rng(_SEED + p).normal(size=(unit.shape[1], BITS)) for p in passes]
-                powers = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-                for p, plane in zip(passes, planes, strict=True):
-                    code = (unit @ plane > 0).astype(np.int64) @ powers
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), p, np.int32)), pa.array(code), part.column(0), part.column(1)], names=["pass", "code", "node", "vector"])
+        for p, found, part in _coded(batches, code, passes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), p, np.int32)), pa.array(found), part.column(0)], names=["pass", "code", "node"])
+
+    return scan
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (pass, code, node, part) with their number within the task."""
+    n = 0
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(n, n + batch.num_rows))], names=["pass", "code", "node", "part", "i"])
+        n += batch.num_rows
+
+
+def _cuts(codes: DataFrame, n: int, passes: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """The order of codes as a table, and (pass, code, node, piece, held) of it: where each piece of a pass begins, and where the window before it begins (held).
+
+    codes: (pass, code, node), n rows in each pass. Places follow from exact ranks, which only take the number of rows in each task
+    of a sort of codes; there are at most two cuts a piece, so the list is small whatever n is.
+    """
+    size = max(ROWS_PER_TASK, window, math.ceil(n / MAX_PIECES))
+    spread = codes.repartitionByRange(max(1, math.ceil(n * passes / (1 << 20))), "pass", "code", "node").sortWithinPartitions("pass", "code", "node")
+    ranked = materialise(spread.select("pass", "code", "node", F.spark_partition_id().alias("part")).mapInArrow(_numbered, "pass int, code long, node long, part int, i long"), "code-order")
+    counts = ranked.groupBy("part", "pass").agg(F.count("*").alias("n"), F.min("i").alias("first")).orderBy("part", "pass").collect()
+    seen: dict[int, int] = {}
+    rows = []
+    for r in counts:  # a row for each task and pass
+        rows.append((r["part"], r["pass"], seen.get(r["pass"], 0) - r["first"]))
+        seen[r["pass"]] = seen.get(r["pass"], 0) + r["n"]
+    shift = F.broadcast(codes.sparkSession.createDataFrame(rows, "part int, pass int, shift long"))
+    rank = ranked.join(shift, ["part", "pass"]).select("pass", "code", "node", (F.col("i") + F.col("shift")).alias("rank"))
+    piece, back = F.floor(F.col("rank") / size).cast("int"), F.floor((F.col("rank") + window) / size).cast("int")
+    starts = rank.where(F.col("rank") % size == 0).select("pass", "code", "node", piece.alias("piece"), F.lit(False).alias("held"))
+    holds = rank.where((F.col("rank") + window) % size == 0).select("pass", "code", "node", back.alias("piece"), F.lit(True).alias("held"))
+    return ranked, starts.unionByName(holds)
+
+
+class Cuts:
+    """The cuts of one pass, to find the pieces of its rows."""
+
+    def __init__(self, rows: list[tuple[int, int, int]], holds: list[tuple[int, int, int]]):
+        """Rows and holds: (code, node, piece), sorted by code and node."""
+        self.starts, self.holds = (self._table(x) for x in (rows, holds))
+
+    @staticmethod
+    def _table(rows: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.array([r[i] for r in rows], np.int64) for i in range(3))
+
+    @staticmethod
+    def _find(table: tuple[np.ndarray, np.ndarray, np.ndarray], code: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The last piece that begins at or before each row, -1 if none does."""
+        codes, nodes, piece = table
+        if not len(codes):
+            return np.full(len(code), -1)
+        lo, hi = np.searchsorted(codes, code, "left"), np.searchsorted(codes, code, "right")
+        at = hi - 1
+        for i in np.flatnonzero(hi > lo):  # rows that share their code with a cut
+            at[i] = lo[i] + np.searchsorted(nodes[lo[i] : hi[i]], node[i], "right") - 1
+        return np.where(at >= 0, piece[np.maximum(at, 0)], -1)
+
+    def of(self, code: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece of each row, and the one after it if the row stands in the window before that, else -1."""
+        own, held = self._find(self.starts, code, node), self._find(self.holds, code, node)
+        return own, np.where(held > own, held, -1)
+
+
+def _dealt(code: Code, passes: range, shared):
+    """(node, vector) into (piece, held, code, node, vector): a row for its piece of each pass, and one for each window it stands in."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, found, part in _coded(batches, code, passes):
+            node = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            own, after = shared.value[p].of(found, node)
+            again = np.flatnonzero(after >= 0)
+            row = np.concatenate([np.arange(len(node)), again])
+            piece = np.concatenate([np.maximum(own, 0), after[again]]) * len(passes) + (p - passes.start)
+            held = np.repeat([False, True], [len(node), len(again)])
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(held), pa.array(found[row]), pa.array(node[row]), part.column(1).take(pa.array(row))], names=["piece", "held", "code", "node", "vector"])
 
     return scan
 
 
 def _window_scan(threshold: float, window: int):
-    """Spanning links of each run of sorted rows: every row against the ``window`` rows before it."""
+    """Spanning links of sorted rows (piece, held, node, vector): every row that is not held against the ``window`` rows before it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_x, held_node = None, np.zeros(0, np.int64)
+        x, node, piece = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new_x, new_node = matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            x = new_x if held_x is None else np.concatenate([held_x, new_x])
-            node = np.concatenate([held_node, new_node])
+            new_piece, held, new_node = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+            new_x, before = matrix(batch.column(3)), len(node)
+            x = new_x if x is None else np.concatenate([x, new_x])
+            node, piece = np.concatenate([node, new_node.astype(np.int64)]), np.concatenate([piece, new_piece.astype(np.int64)])
+            held = np.concatenate([np.ones(before, bool), held])
             root = np.arange(len(node))
-            for lo in range(len(held_node), len(node), _CHUNK):
+            for lo in range(before, len(node), _CHUNK):
                 hi, back = min(lo + _CHUNK, len(node)), max(0, lo - window)
-                i, j = np.nonzero(x[lo:hi] @ x[back:hi].T >= threshold)
+                i, j = np.nonzero(near(x[lo:hi], x[back:hi], threshold))
                 i, j = i + lo, j + back
-                fit = (j < i) & (i - j <= window) & (root[i] != root[j]) & (node[i] != node[j])
+                fit = (j < i) & (i - j <= window) & (piece[i] == piece[j]) & ~held[i]
+                fit = fit & (root[i] != root[j]) & (node[i] != node[j])
                 if fit.any():
                     pair = np.unique(root[i[fit]] * len(node) + root[j[fit]])
                     root = local_roots(len(node), pair // len(node), pair % len(node))[root]
             child = np.flatnonzero(root != np.arange(len(node)))
             yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[root[child]])], names=["a", "b"])
-            held_x, held_node = x[-window:].copy(), node[-window:].copy()
+            x, node, piece = x[-window:].copy(), node[-window:].copy(), piece[-window:].copy()
 
     return scan
 
 
 def _pass_links(nodes: DataFrame, n: int, threshold: float, window: int, recall: float) -> DataFrame | None:
     """(a, b) links found in all passes over (node, vector), written a few passes at a time."""
-    kind, found = nodes.schema["vector"].dataType.simpleString(), None
+    kind, found, context = nodes.schema["vector"].dataType.simpleString(), None, nodes.sparkSession.sparkContext
+    order = "pass int, code long, node long"
+    code, meet = code_for(n, threshold, window)
     sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(math.ceil(n / SAMPLE))) == 0)
-    trial = sample.mapInArrow(_codes(range(TRIALS)), f"pass int, code long, node long, vector {kind}").select("pass", "code", "node").toArrow().sort_by("node")
+    trial = sample.mapInArrow(_codes(code, range(TRIALS)), order).toArrow().sort_by("node")
     trial_pass, trial_code = (trial[c].to_numpy() for c in ("pass", "code"))
-    total = passes_for(n, threshold, window, recall)
+    total = passes_for(meet, recall)
     if len(trial_code):
-        total = max(total, min(MAX_PASSES, passes_measured([trial_code[trial_pass == p] for p in range(TRIALS)], n, threshold, window, recall)))
+        total = max(total, min(MAX_PASSES, passes_for(meeting([trial_code[trial_pass == p] for p in range(TRIALS)], code, n, threshold, window), recall)))
     for lo in range(0, total, PASSES_AT_ONCE):
         passes = range(lo, min(lo + PASSES_AT_ONCE, total))
-        rows = nodes.mapInArrow(_codes(passes), f"pass int, code long, node long, vector {kind}")
-        parts = max(1, math.ceil(n * len(passes) / ROWS_PER_TASK), nodes.sparkSession.sparkContext.defaultParallelism)
-        spread = rows.repartitionByRange(parts, "pass", "code", "node").sortWithinPartitions("pass", "code", "node")
-        links = materialise(spread.select("node", "vector").mapInArrow(_window_scan(threshold, window), "a long, b long").distinct(), "embedding-links")
+        codes = materialise(nodes.mapInArrow(_codes(code, passes), order), "codes")
+        ranked, cuts = _cuts(codes, n, len(passes), window)
+        by_pass: dict[int, tuple[list, list]] = {p: ([], []) for p in passes}
+        for r in cuts.collect():
+            by_pass[r["pass"]][r["held"]].append((r["code"], r["node"], r["piece"]))
+        shared = context.broadcast({p: Cuts(sorted(a), sorted(x for x in b if x[2] < len(a))) for p, (a, b) in by_pass.items()})
+        pieces = sum(len(a) for a, _ in by_pass.values())
+        rows = nodes.mapInArrow(_dealt(code, passes, shared), f"piece long, held boolean, code long, node long, vector {kind}")
+        spread = rows.repartition(pieces, "piece").sortWithinPartitions("piece", "code", "node")
+        links = materialise(spread.select("piece", "held", "node", "vector").mapInArrow(_window_scan(threshold, window), "a long, b long").distinct(), "embedding-links")
+        discard(ranked)
+        discard(codes)
         found = links if found is None else found.unionByName(links)
     return found
 
@@ -148,8 +307,8 @@ def _leader_scan(half: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = (matrix(batch.column(3)) * matrix(batch.column(4))).sum(1) >= half
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(near)], names=["root", "node", "times", "vector", "near"])
+                close = (matrix(batch.column(3)) * matrix(batch.column(4))).sum(1) >= half
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(close)], names=["root", "node", "times", "vector", "near"])
 
     return scan
 
@@ -157,10 +316,10 @@ def _leader_scan(half: float):
 def _block_scan(threshold: float):
     """Partial counts (node, links) of groups of outer rows and rows of one block, sorted by group."""
 
-    def counts(outer: np.ndarray, node: np.ndarray, times: np.ndarray, near: np.ndarray, vector: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def counts(outer: np.ndarray, node: np.ndarray, times: np.ndarray, close: np.ndarray, vector: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         x, o, a = matrix(vector), np.flatnonzero(outer), np.flatnonzero(~outer)
-        link = (x[o] @ x[a].T >= threshold) & (node[o][:, None] != node[a][None, :])
-        return np.concatenate([node[o], node[a]]), np.concatenate([link @ times[a], np.where(near[a], times[o] @ link, 0)])
+        link = near(x[o], x[a], threshold) & (node[o][:, None] != node[a][None, :])
+        return np.concatenate([node[o], node[a]]), np.concatenate([link @ times[a], np.where(close[a], times[o] @ link, 0)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -201,10 +360,10 @@ def _counted(members: DataFrame, threshold: float, block: int) -> DataFrame:
     half = math.cos(math.acos(threshold) / 2) + 1e-9
     kind = members.schema["vector"].dataType.simpleString()
     leaders = members.where("node = root").select("root", F.col("vector").alias("leader"))
-    near = members.join(leaders, "root").select("root", "node", "times", "vector", "leader").mapInArrow(_leader_scan(half), f"root long, node long, times long, vector {kind}, near boolean")
-    near = materialise(near, "near-leaders")
-    sizes = materialise(near.groupBy("root").agg(F.sum(F.when(F.col("near"), F.col("times")).otherwise(0)).alias("ball"), F.count("*").alias("n"), F.count_if(~F.col("near")).alias("outer")), "component-sizes")
-    parts = near.join(sizes.where("outer > 0").select("root", F.ceil(F.col("n") / block).cast("long").alias("nb"), F.ceil(F.col("outer") / block).cast("long").alias("no")), "root")
+    near_leader = members.join(leaders, "root").select("root", "node", "times", "vector", "leader").mapInArrow(_leader_scan(half), f"root long, node long, times long, vector {kind}, near boolean")
+    near_leader = materialise(near_leader, "near-leaders")
+    sizes = materialise(near_leader.groupBy("root").agg(F.sum(F.when(F.col("near"), F.col("times")).otherwise(0)).alias("ball"), F.count("*").alias("n"), F.count_if(~F.col("near")).alias("outer")), "component-sizes")
+    parts = near_leader.join(sizes.where("outer > 0").select("root", F.ceil(F.col("n") / block).cast("long").alias("nb"), F.ceil(F.col("outer") / block).cast("long").alias("no")), "root")
     zero = F.lit(0).cast("long")
     spread = parts.withColumn("own_b", F.pmod(F.xxhash64("node"), "nb")).withColumn("own_o", F.pmod(F.xxhash64(F.lit(1), "node"), "no"))
     columns = ("root", "o", "b", "outer", "node", "times", "near", "vector")
@@ -212,7 +371,7 @@ def _counted(members: DataFrame, threshold: float, block: int) -> DataFrame:
     every = spread.withColumn("o", F.explode(F.sequence(zero, F.col("no") - 1))).withColumnRenamed("own_b", "b").withColumn("outer", F.lit(False)).select(*columns)
     grouped = outer.unionByName(every).repartition("root", "o", "b").sortWithinPartitions("root", "o", "b")
     partial = grouped.mapInArrow(_block_scan(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    in_ball = near.join(sizes, "root").select("node", F.when(F.col("near"), F.col("ball") - F.col("times")).otherwise(F.lit(0)).alias("mutual"))
+    in_ball = near_leader.join(sizes, "root").select("node", F.when(F.col("near"), F.col("ball") - F.col("times")).otherwise(F.lit(0)).alias("mutual"))
     return in_ball.join(partial, "node", "left").select("node", (F.col("mutual") + F.coalesce("links", F.lit(0))).alias("links"))
 
 

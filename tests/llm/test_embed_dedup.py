@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from crestline.llm.embed_dedup import embedding_components, passes_for
+from crestline.llm import embed_dedup
+from crestline.llm.embed_dedup import agreement, code_for, embedding_components, near, passes_for
 
 
 def brute(x, threshold=0.9):
@@ -39,8 +40,42 @@ def test_edges(spark):
 
 
 def test_more_vectors_need_more_passes():
-    assert passes_for(1) == 2 or passes_for(1) > 0
-    assert passes_for(10_000) < passes_for(10_000_000)
+    passes = [passes_for(code_for(n)[1]) for n in (1, 10_000, 1_000_000, 1_000_000_000)]
+    assert passes[0] == 2 and passes == sorted(passes) and passes[-1] <= 80
+    assert 0.4 < agreement(0.9, 64) < agreement(0.9, 8) < agreement(0.95, 8) < 1
+
+
+def test_borderline_pairs_get_one_answer():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 48))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    whole = near(x, x, 0.0)
+    for t in np.unique((x[:20] * x[100]).sum(1)):  # each of these is some pair's cosine
+        whole = near(x, x, t)
+        for rows in (1, 7, 64):
+            assert all((near(x[lo : lo + rows], x[90:111], t) == whole[lo : lo + rows, 90:111]).all() for lo in range(0, 21, rows))
+
+
+@pytest.mark.parametrize("parallelism", [4, 1000])
+def test_links_do_not_depend_on_the_cluster(spark, monkeypatch, parallelism):
+    """A thousand planted pairs, pieces of 64 rows, windows of 32: whatever the number of tasks, the same links."""
+    monkeypatch.setattr(embed_dedup, "ROWS_PER_TASK", 64)
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    base, aside = unit(rng.normal(size=(1000, 32))), rng.normal(size=(1000, 32))
+    aside = unit(aside - (aside * base).sum(1)[:, None] * base)
+    c = rng.uniform(0.901, 0.93, 1000)[:, None]
+    x = np.concatenate([base, base * c + aside * (1 - c * c) ** 0.5])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(parallelism if parallelism < 100 else 50)
+    spark.conf.set("spark.sql.shuffle.partitions", "4" if parallelism == 4 else "60")
+    try:
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_components(df, window=32).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    links, root = brute(x)
+    assert sum(got[i] == (links[i], root[i]) for i in got) >= 0.995 * len(x)
+    seen = test_links_do_not_depend_on_the_cluster.__dict__.setdefault("seen", got)
+    assert seen == got
 
 
 def test_hot_cone_against_brute_force(spark):
