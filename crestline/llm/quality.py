@@ -40,9 +40,8 @@ _RUN = re.compile(r"([^\w\s])\1+")
 
 def shape(word: str) -> str:
     """A short name for how a word is written: A, a and 9 for runs of capitals, small letters and digits."""
-    word = word[:64]
     word = _DIGITS.sub("\x009", _SMALL.sub("\x00a", _UPPER.sub("\x00A", word)))
-    return _RUN.sub(r"\1\1", word).replace("\x00", "")[:12]
+    return _RUN.sub(r"\1\1", word).replace("\x00", "")
 
 
 def index_vector(unit: str, dim: int = DIM) -> np.ndarray:
@@ -200,7 +199,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", divi
 
 
 def reject_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, docs_for_fit: DataFrame | None = None, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least ``threshold``; fitted on docs_for_fit if given."""
+    """The rows of docs, all columns, whose text scores at least ``threshold``; fitted on docs_for_fit if given.
+
+    Null and empty texts score like a text without words and stay or go together. Repeated rows and null ids are rows
+    like any other, and other columns, whatever their names, are neither read nor changed. Without labels every text scores one
+    half. An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs if docs_for_fit is None else docs_for_fit, labels, train_rows=train_rows, train_chars=train_chars))
     at = docs.columns.index("text")
 

@@ -26,7 +26,6 @@ DIM = 12
 FILTERS = 8
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5, 6)
-HASHED_BYTES = 64
 EPOCHS = 6
 #: small samples are passed over until so many rows were seen
 UPDATES_ROWS = 40_000
@@ -44,7 +43,7 @@ LANGUAGES = (*FUNCTION_WORDS, "other")
 def hash_words(words: pa.Array, buckets: int, prefixes: tuple[int, ...] = PREFIXES) -> np.ndarray:
     """(words, 1 + prefixes) rows of the table: of the whole word and of its first bytes; a short word repeats its own.
 
-    A word's hash reads its first 64 bytes and its length. Vectorised over the words' buffer.
+    Every byte of a word counts. Vectorised over the words' buffer; words of a text are no longer than MAX_WORD bytes.
     """
     n = len(words)
     raw = words.cast(pa.large_binary())
@@ -55,7 +54,7 @@ def hash_words(words: pa.Array, buckets: int, prefixes: tuple[int, ...] = PREFIX
     out = np.zeros((n, 1 + len(prefixes)), np.uint64)
     done = np.zeros((n, len(prefixes)), bool)
     active = np.arange(n)
-    for i in range(min(HASHED_BYTES, int(size.max(initial=0)))):
+    for i in range(int(size.max(initial=0))):
         active = active[size[active] > i]
         h[active] = (h[active] ^ data[offsets[active] + i]) * np.uint64(1099511628211)
         if i + 1 in prefixes:
@@ -156,51 +155,17 @@ def fit(sample: list[tuple[str, int]], seed: int = 5, epochs: int = EPOCHS, buck
         rng.shuffle(train)
         for lo in range(0, len(train), 32):
             batch = train[lo : lo + 32]
-            grads = {k: np.zeros_like(v) for k, v in params.items()}
-            rows, steps = [], []
-            for d in batch:
-                ids = numbers[starts[d] : starts[d + 1]]
-                if not len(ids):
-                    continue
-                distinct, local = np.unique(ids, return_inverse=True)
-                vectors = table[slots[distinct]].mean(1)
-                pooled, where = [], []
-                for w in widths:
-                    f, n = params[f"f{w}"], len(ids) - w + 1
-                    if n < 1:
-                        pooled.append(np.zeros(n_filters, np.float32))
-                        where.append(None)
-                        continue
-                    projected = [vectors @ f[j] for j in range(w)]
-                    got = projected[0][local[:n]]
-                    for j in range(1, w):
-                        got = got + projected[j][local[j : n + j]]
-                    at = got.argmax(0)
-                    top = got[at, np.arange(n_filters)]
-                    pooled.append(np.maximum(top, 0))
-                    where.append(at)
-                pooled_all = np.concatenate(pooled)
-                error = (sigmoid(pooled_all @ params["out"] + params["bias"][0]) - y[d]) * weight[d] / len(batch)
-                grads["out"] += error * pooled_all
-                grads["bias"] += error
-                back = error * params["out"] * (pooled_all > 0)
-                for k, w in enumerate(widths):
-                    if where[k] is None:
-                        continue
-                    g, f = back[k * n_filters : (k + 1) * n_filters], params[f"f{w}"]
-                    for j in range(w):
-                        touched = local[where[k] + j]
-                        grads[f"f{w}"][j] += (vectors[touched] * g[:, None]).T
-                        rows.append(slots[distinct[touched]])
-                        steps.append((f[j] * g).T)
+            step = _step(table, slots, params, widths, *_batch(numbers, starts, batch), y[batch], weight[batch] / len(batch))
+            if step is None:
+                continue
+            grads, hit, change = step
             adam.update(grads)
-            if rows:
-                hit, step = np.concatenate(rows), np.concatenate(steps)
-                flat, total = np.unique(hit, return_inverse=True)
-                change = np.zeros((len(flat), dim), np.float32)
-                np.add.at(change, total.reshape(hit.shape), np.broadcast_to(step[:, None, :], (*hit.shape, dim)) / hit.shape[1])
-                squares[flat] += (change**2).mean(1)
-                table[flat] -= 0.1 * change / np.sqrt(squares[flat])[:, None]
+            if len(hit):
+                flat, at = np.unique(hit, return_inverse=True)
+                change = np.repeat(change / hit.shape[1], hit.shape[1], axis=0)
+                total = np.stack([np.bincount(at.ravel(), change[:, d], len(flat)) for d in range(dim)], axis=1).astype(np.float32)
+                squares[flat] += (total**2).mean(1)
+                table[flat] -= 0.1 * total / np.sqrt(squares[flat])[:, None]
     model = Model(table, {w: params[f"f{w}"] for w in widths}, params["out"], float(params["bias"][0]), np.zeros(len(LANGUAGES)), 1.0)
     fit_on = held if len(held) >= 40 and y[held].min() != y[held].max() else order
     logits, languages = logits_of(model, pa.array([sample[i][0] for i in fit_on], pa.large_string()))
@@ -209,6 +174,58 @@ def fit(sample: list[tuple[str, int]], seed: int = 5, epochs: int = EPOCHS, buck
     return model._replace(thresholds=thresholds, temperature=fit_temperature(logits - thresholds[languages], y[fit_on]))
 
 
+def _batch(numbers: np.ndarray, starts: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of some texts one after the other, and how many each has."""
+    size = starts[texts + 1] - starts[texts]
+    return numbers[np.repeat(starts[texts] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
+
+def _step(table: np.ndarray, slots: np.ndarray, params: dict[str, np.ndarray], widths: tuple[int, ...], ids: np.ndarray, size: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray] | None:
+    """Gradients of a batch of texts: of the parameters, and of the embeddings that the maxima came from (slots, steps)."""
+    full = size > 0
+    size, y, weight = size[full], y[full], weight[full]
+    if not len(size):
+        return None
+    distinct, local = np.unique(ids, return_inverse=True)
+    vectors = table[slots[distinct]].mean(1)
+    owner, begin = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    n_filters = params[f"f{widths[0]}"].shape[2]
+    pooled, place = [], []
+    for w in widths:
+        f = params[f"f{w}"]
+        top, at = np.zeros((len(size), n_filters), np.float32), np.full((len(size), n_filters), -1)
+        n = len(ids) - w + 1
+        if n > 0:
+            got = (vectors @ f[0])[local[:n]]
+            for j in range(1, w):
+                got += (vectors @ f[j])[local[j : j + n]]
+            got[owner[:n] != owner[w - 1 :]] = -np.inf
+            some = np.flatnonzero(size >= w)
+            first = begin[begin < n]
+            best = np.maximum.reduceat(got, first, axis=0)
+            here = np.where(got == best[owner[:n]], np.arange(n)[:, None], n)
+            at[some] = np.minimum.reduceat(here, first, axis=0)[some]
+            top[some] = best[some]
+        pooled.append(np.maximum(top, 0))
+        place.append(at)
+    pooled = np.concatenate(pooled, axis=1)
+    error = ((sigmoid(pooled @ params["out"] + params["bias"][0]) - y) * weight).astype(np.float32)
+    back = error[:, None] * params["out"] * (pooled > 0)
+    grads = {"out": pooled.T @ error, "bias": error.sum(keepdims=True)}
+    rows, steps = [], []
+    for k, w in enumerate(widths):
+        f, at = params[f"f{w}"], place[k]
+        g = back[:, k * n_filters : (k + 1) * n_filters] * (at >= 0)
+        grads[f"f{w}"] = np.zeros_like(f)
+        for j in range(w):
+            touched = local[np.maximum(at, 0) + j * (at >= 0)]
+            grads[f"f{w}"][j] = np.einsum("nfd,nf->df", vectors[touched], g)
+            moved = np.nonzero(g)
+            rows.append(slots[distinct[touched[moved]]])
+            steps.append(f[j].T[moved[1]] * g[moved][:, None])
+    return grads, np.concatenate(rows), np.concatenate(steps)
+
+
 def _threshold(logits: np.ndarray, y: np.ndarray, otherwise: float = 0.0) -> float:
     """The middle of the gap with fewest errors; ``otherwise`` where a language has too few rows of a class."""
     if min((y == 1).sum(), (y == 0).sum()) < 5:

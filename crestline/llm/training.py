@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crestline.llm.common import discard, materialise
+
+#: bytes of the labelled texts that a classifier is fitted on
+SAMPLE_BYTES = 256 << 20
+#: longer words, in bytes, are cut into pieces: joined text, and scripts that do not part words
+MAX_WORD, PIECE = 64, 16
 #: words that are gathered at once, whatever the length of a text
 SLICE = 1 << 16
 
@@ -19,20 +26,36 @@ def remainder(id_col: str, divisor: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(divisor))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held: int, rows: int, max_chars: int, seed: int = 17) -> list[tuple[str, int]]:
-    """At most ``rows`` (text, label) pairs from labelled rows that are not held out, the same on every run.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held: int, rows: int, max_chars: int, max_bytes: int = SAMPLE_BYTES, seed: int = 17) -> list[tuple[str, int]]:
+    """At most ``rows`` (text, label) pairs, of at most max_bytes in all, from labelled rows that are not held out.
 
-    Rows are taken in the order of a hash of their id, from all labels. An id labelled twice takes its largest label,
-    null labels are none, and a text of over max_chars characters is not used for fitting. The ids are broadcast:
-    there are no more than ``rows``.
+    The same on every run: ids are taken in the order of a hash, as far as they are labelled and have a text of at most
+    max_chars characters, until there are ``rows`` or the next one would not fit. An id labelled twice takes its largest
+    label, null labels are none; of several texts of an id the smallest one is taken, a null text is empty. Ids go to
+    the executors ``rows`` at first and twice as many whenever too few of them had texts; what is found is written, one row
+    an id, and only the rows that are chosen reach the driver.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
-    known = known.where(remainder("doc_id", divisor) != held)
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("_t")).where(F.coalesce(F.length("_t"), F.lit(0)) <= max_chars)
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("_t", F.lit("")).alias("_t"), F.col("_y").cast("int").alias("_y"))
-    table = found.toArrow().sort_by([("doc_id", "ascending"), ("_t", "ascending")]).slice(0, rows)
-    return list(zip(table["_t"].to_pylist(), table["_y"].to_pylist(), strict=True))
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
+    known = known.where(remainder("doc_id", divisor) != held).withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t")).where(F.length("_t") <= max_chars)
+    want = rows
+    while True:
+        chosen = known.orderBy("_h", "doc_id").limit(want)
+        found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y", "_h").agg(F.min("_t").alias("_t"))
+        found = materialise(found.withColumn("_b", F.octet_length("_t").cast("long")), "labelled")
+        sizes = found.select("_h", "doc_id", "_b").toArrow().sort_by([("_h", "ascending"), ("doc_id", "ascending")])
+        if len(sizes) >= rows or known.limit(want + 1).count() <= want:
+            break
+        discard(found)
+        want *= 2
+    fits = np.cumsum(sizes["_b"].to_numpy())[:rows] <= max_bytes
+    n = int(fits.sum())
+    if n:
+        last_h, last_id = sizes["_h"][n - 1].as_py(), sizes["doc_id"][n - 1].as_py()
+        found = found.where((F.col("_h") < last_h) | ((F.col("_h") == last_h) & (F.col("doc_id") <= F.lit(last_id))))
+        table = found.select("_h", "doc_id", "_t", "_y").toArrow().sort_by([("_h", "ascending"), ("doc_id", "ascending")])
+    discard(found)
+    return list(zip(table["_t"].to_pylist(), table["_y"].to_pylist(), strict=True)) if n else []
 
 
 def text_batches(column: pa.Array, most_bytes: int = 8 << 20) -> Iterator[pa.Array]:
@@ -49,18 +72,41 @@ def text_batches(column: pa.Array, most_bytes: int = 8 << 20) -> Iterator[pa.Arr
         lo = hi
 
 
+def pieces(word: str) -> list[str]:
+    """A long word's parts, all of it: single characters of scripts that do not part words, else runs of PIECE characters."""
+    return _PIECES.findall(word)
+
+
+_PIECES = re.compile(rf"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uD7FF\uF900-\uFAFF\U00020000-\U0003FFFF]|.{{1,{PIECE}}}?(?=[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uD7FF\uF900-\uFAFF\U00020000-\U0003FFFF])|.{{1,{PIECE}}}", re.S)
+
+
 def words_of(texts: pa.Array, lower: bool, trim: str | None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """(word numbers, distinct words, starts of texts with one end more): white space splits, in C++ throughout."""
+    """(word numbers, distinct words, starts of texts with one end more): white space splits, in C++ throughout.
+
+    A word of over MAX_WORD bytes stands for its pieces, so that no word that is left is longer.
+    """
     lists = pc.ascii_split_whitespace(pc.utf8_lower(texts) if lower else texts)
     flat = lists.flatten()
     starts = lists.offsets.to_numpy().astype(np.int64)
     starts = starts - starts[0]
     if trim:
         flat = pc.utf8_trim(flat, trim)
-    keep = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    size = pc.binary_length(flat).to_numpy(zero_copy_only=False)
+    keep = size > 0
     if not keep.all():
         starts = np.concatenate([[0], np.cumsum(keep)])[starts]
-        flat = flat.filter(pa.array(keep))
+        flat, size = flat.filter(pa.array(keep)), size[keep]
+    long = size > MAX_WORD
+    if long.any():
+        parts = [pieces(w) for w in flat.filter(pa.array(long)).to_pylist()]
+        times = np.ones(len(flat), np.int64)
+        times[long] = [len(x) for x in parts]
+        place = np.concatenate([[0], np.cumsum(times)])
+        where = np.repeat(np.arange(len(flat)), times)
+        new = np.repeat(long, times)
+        where[new] = len(flat) + np.arange(int(new.sum()))
+        flat = pa.concat_arrays([flat, pa.array([x for p in parts for x in p], flat.type)]).take(pa.array(where))
+        starts = place[starts]
     coded = flat.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, starts
 

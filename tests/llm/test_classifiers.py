@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from crestline.llm import quality, toxicity
-from crestline.llm.training import fit_temperature, labelled_sample, text_batches, words_of
+from crestline.llm.training import MAX_WORD, fit_temperature, labelled_sample, pieces, text_batches, words_of
 
 
 def prose(rng, n):
@@ -91,6 +91,108 @@ def test_index_vectors_and_shapes():
     assert [quality.shape(w) for w in ("The", "THE!!", "a-b", "x12###", "été.")] == ["Aa", "A!!", "a-a", "a9##", "a."]
 
 
+def test_every_byte_of_a_word_counts():
+    for word in ("a" * 64 + "b", "ab" * 5000, "你好世界" * 20 + "abc" * 10 + "世", "x" * 100 + "世" + "y" * 3, "ü" * 70):
+        assert "".join(pieces(word)) == word and max(len(x.encode()) for x in pieces(word)) <= MAX_WORD
+    assert pieces("你好a" * 20)[:3] == ["你", "好", "a"]
+    numbers, words, starts = words_of(pa.array(["a " + "b" * 65 + " c", "", "d" * 64], pa.large_string()), False, None)
+    assert [words[i].as_py() for i in numbers] == ["a", *["b" * 16] * 4, "b", "c", "d" * 64] and starts.tolist() == [0, 7, 7, 8]
+    a, b = (toxicity.hash_words(pa.array([w], pa.large_string()), 1 << 40)[0, 0] for w in ("a" * 80 + "x", "a" * 80 + "y"))
+    assert a != b
+    assert quality.shape("a1" * 40) == "a9" * 40
+
+
+def test_pooled_vectors_and_network_against_plain_loops():
+    rng = random.Random(5)
+    model = quality.fit(junk_rows(rng, 150))
+    texts = [t for t, _ in junk_rows(rng, 12)] + ["", "One one ONE? two", "a" * 200]
+    for text, got in zip(texts, quality.score(model, pa.array(texts)), strict=True):
+        words, total, before = [p for w in text.split() for p in (pieces(w) if len(w.encode()) > MAX_WORD else [w])], 0.0, None
+        total = np.zeros(model.vectors.shape[1])
+        for w in words:
+            if w == before:
+                unit = model.units[quality.REPEAT]
+            else:
+                unit = model.units.get(w, model.units.get("shape " + quality.shape(w), len(model.units)))
+            total, before = total + model.vectors[unit], w
+        x = (total / max(1, len(words)) - model.mean) / model.scale
+        w1, b1, w2, b2 = model.layers
+        hidden = [np.tanh(sum(x[i] * w1[i, h] for i in range(len(x))) + b1[h]) for h in range(len(b1))]
+        logit = sum(v * w for v, w in zip(hidden, w2, strict=True)) + b2[0]
+        assert got == pytest.approx(1 / (1 + np.exp(-logit / model.temperature)), abs=1e-6)
+
+
+def test_word_vectors_against_plain_loops():
+    texts = [t for t, _ in junk_rows(random.Random(6), 20)]
+    units, vectors = quality.word_vectors(pa.array(texts, pa.large_string()), 8, min_count=5)
+    names = [*units, None]
+    context = np.zeros((len(names), 8))
+    for text in texts:
+        words = text.split()
+        at = [units[quality.REPEAT] if i and words[i - 1] == w else units.get(w, units.get("shape " + quality.shape(w), len(units))) for i, w in enumerate(words)]
+        for i in range(len(at)):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(at):
+                    context[at[i]] += vectors[at[j], :8]
+    norm = np.maximum(np.linalg.norm(context, axis=1), 1e-9)
+    assert np.allclose(vectors[:, 8:], context / norm[:, None])
+    assert all((vectors[i, :8] == quality.index_vector(u, 8)).all() for u, i in units.items())
+
+
+def test_batched_gradients_against_single_texts():
+    rng, widths = np.random.default_rng(7), (1, 2, 3)
+    table, slots = rng.normal(size=(50, 4)).astype(np.float32), rng.integers(0, 50, (30, 4))
+    params = {f"f{w}": rng.normal(size=(w, 4, 5)).astype(np.float32) for w in widths} | {"out": rng.normal(size=15).astype(np.float32), "bias": np.zeros(1, np.float32)}
+    size = np.array([7, 0, 1, 2, 12, 3])
+    starts = np.concatenate([[0], np.cumsum(size)])
+    numbers, y, weight = rng.integers(0, 30, starts[-1]), rng.integers(0, 2, 6).astype(float), rng.random(6)
+    grads, hit, change = toxicity._step(table, slots, params, widths, *toxicity._batch(numbers, starts, np.arange(6)), y, weight)
+    total = np.zeros_like(table)
+    np.add.at(total, hit.ravel(), np.repeat(change, 4, axis=0) / 4)
+    want, moved = {k: np.zeros_like(v) for k, v in params.items()}, np.zeros_like(table)
+    for d in np.flatnonzero(size):  # the chain rule, text by text
+        vectors = table[slots[numbers[starts[d] : starts[d + 1]]]].mean(1)
+        top, place = np.zeros(15, np.float32), {}
+        for k, w in enumerate(widths):
+            for f in range(5):
+                out = [sum(vectors[i + j] @ params[f"f{w}"][j][:, f] for j in range(w)) for i in range(size[d] - w + 1)]
+                if out:
+                    place[k * 5 + f] = int(np.argmax(out))
+                    top[k * 5 + f] = max(0, max(out))
+        error = (1 / (1 + np.exp(-(top @ params["out"]))) - y[d]) * weight[d]
+        want["out"] += error * top
+        want["bias"] += error
+        for c, i in place.items():
+            w, f = widths[c // 5], c % 5
+            g = error * params["out"][c] * (top[c] > 0)
+            for j in range(w):
+                want[f"f{w}"][j][:, f] += g * vectors[i + j]
+                np.add.at(moved, slots[numbers[starts[d] + i + j]], g * params[f"f{w}"][j][:, f] / 4)
+    assert all(np.allclose(grads[k], want[k], atol=1e-4) for k in want) and np.allclose(total, moved, atol=1e-4)
+
+
+def test_sample_is_bounded_in_bytes_and_by_repeats(spark):
+    docs = spark.createDataFrame([(i % 7, "x" * (10 + i)) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(500)], "doc_id long, quality int, toxic int")
+    ids = [i for i in range(7) if zlib.crc32(str(i).encode()) % 3 != 1]
+    sample = labelled_sample(docs, labels, "quality", 3, 1, 100, 1000)  # most labelled ids have no text: more are taken
+    assert sorted(sample) == sorted(("x" * (10 + i), i % 2) for i in ids)
+    assert labelled_sample(docs, labels, "quality", 3, 1, 100, 1000, max_bytes=30) == sample[:2]
+    assert labelled_sample(docs, labels, "quality", 3, 1, 2, 1000) == sample[:2]
+    assert labelled_sample(docs, labels, "quality", 3, 1, 2, 5) == []
+
+
+def test_rejecting_null_and_repeated_texts(spark):
+    rows = [(1, None, 0.1), (2, "", 0.2), (3, "good words", 0.3), (3, "good words", 0.4), (None, "good words", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(3, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = sorted(quality.reject_low_quality(docs, labels.limit(0)).collect(), key=str)
+    assert got == sorted(docs.collect(), key=str)  # one half for all
+    kept = {r.score for r in quality.reject_low_quality(docs, labels, threshold=0.9).collect()}
+    assert kept in ({0.3, 0.4, 0.5}, set(), {0.1, 0.2}, {0.1, 0.2, 0.3, 0.4, 0.5})
+    assert quality.reject_low_quality(docs.limit(0), labels).collect() == []
+
+
 def test_helpers():
     numbers, words, starts = words_of(pa.array(["a b a", "", " , c."]), False, ".,")
     assert [words[i].as_py() for i in numbers] == ["a", "b", "a", "c"] and starts.tolist() == [0, 3, 3, 4]
