@@ -70,6 +70,22 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def ring_index(us: Column, pane_us: int, slots: int) -> Column:
+    """The slot of a ring of ``slots`` panes that a point in time falls into, also before 1970."""
+    return F.pmod(F.floor(us / F.lit(pane_us)), F.lit(slots)).cast("long")
+
+
+def csv_values(c: Column) -> Column:
+    """Comma-separated values as an array: trimmed, blanks left out; null has none."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), trim_space), lambda x: x != "")
+
+
+def hash128(c: Column) -> tuple[Column, Column]:
+    """Two numbers below 2^60 from the MD5 of a text: independent enough for double hashing, and the same in any engine."""
+    digits = F.md5(c.cast("binary"))
+    return tuple(F.conv(F.substring(digits, at, 15), 16, 10).cast("long") for at in (1, 16))
+
+
 def floor_to(us: Column, step_us: int) -> Column:
     """The largest multiple of step_us not above us, also before 1970."""
     return (us - F.pmod(us, F.lit(step_us))).cast("long")

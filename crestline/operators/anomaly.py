@@ -7,12 +7,22 @@ longer than the time to live starts anew.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.config import AnomalyConfig
 
-HISTORY = 200
+#: what the panes beyond the reach weigh together in a mean, at most
+TOLERANCE = 1e-12
+#: natural logarithm of the largest scale inside a block of panes; doubles end near 709
+_SCALE = 300.0
+
+
+def reach(alpha: float, tolerance: float = TOLERANCE) -> int:
+    """Panes that a mean looks back: all older ones together weigh at most ``tolerance``."""
+    return 1 if alpha >= 1 else max(1, math.ceil(math.log(tolerance) / math.log1p(-alpha)))
 
 
 def _numbered(panes: DataFrame, cfg: AnomalyConfig) -> DataFrame:
@@ -52,12 +62,26 @@ def ewma_at(panes: DataFrame, as_of_us: int, cfg: AnomalyConfig) -> DataFrame:
     return query_state(panes, as_of_us, cfg)
 
 
-def ewma_history(panes: DataFrame, cfg: AnomalyConfig, history: int = HISTORY) -> DataFrame:
-    """(query, pane_us, cnt, ewma): the mean before each observed pane. Panes further back than ``history`` weigh nothing."""
-    frame = Window.partitionBy("query").orderBy("i").rangeBetween(-history, -1)
-    rows = _numbered(panes, cfg).withColumn("before", F.collect_list(F.struct("i", "cnt")).over(frame))
-    weight = lambda x: F.lit(cfg.alpha) * F.pow(F.lit(1.0 - cfg.alpha), (F.col("i") - 1 - x["i"]).cast("double")) * x["cnt"]
-    return rows.select("query", "pane_us", "cnt", F.aggregate("before", F.lit(0.0), lambda acc, x: acc + weight(x)).alias("ewma"))
+def ewma_history(panes: DataFrame, cfg: AnomalyConfig) -> DataFrame:
+    """(query, pane_us, cnt, ewma): the mean before each observed pane.
+
+    A running sum of counts scaled up by their place in a block of panes, and scaled down again: all terms are positive,
+    so nothing cancels. A block is so long that what stands before the previous one weighs less than e^-300. Each pane
+    goes to its own block and, as a part of the mean with which that begins, to the next one: one shuffle by (query,
+    block), no lists, and a query with a long history is spread over its blocks.
+    """
+    keep = 1.0 - cfg.alpha
+    size = 1 if keep <= 0 else max(1, math.floor(_SCALE / -math.log(keep)))
+    rows = _numbered(panes, cfg).withColumn("b", F.floor(F.col("i") / size).cast("long")).withColumn("o", F.col("i") - F.col("b") * size)
+    part = F.lit(cfg.alpha) * F.col("cnt")
+    own = F.struct(F.col("b"), F.col("o"), F.col("pane_us"), F.col("cnt"), F.lit(0.0).alias("begin"), (part * F.pow(F.lit(keep), -F.col("o").cast("double"))).alias("up"))
+    after = F.struct((F.col("b") + 1).alias("b"), F.lit(-1).cast("long").alias("o"), F.lit(None).cast("long").alias("pane_us"), F.lit(None).cast("long").alias("cnt"), (part * F.pow(F.lit(keep), (size - 1 - F.col("o")).cast("double"))).alias("begin"), F.lit(0.0).alias("up"))
+    both = rows.select("query", F.inline(F.array(own, after)))
+    frame = Window.partitionBy("query", "b").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    before, begin = F.coalesce(F.sum("up").over(frame), F.lit(0.0)), F.coalesce(F.sum("begin").over(frame), F.lit(0.0))
+    down = F.when(F.col("before") > 0, F.col("before") * F.pow(F.lit(keep), (F.col("o") - 1).cast("double"))).otherwise(0.0)
+    known = both.select("query", "o", "pane_us", "cnt", before.alias("before"), begin.alias("begun")).where("pane_us is not null")
+    return known.select("query", "pane_us", "cnt", (down + F.col("begun") * F.pow(F.lit(keep), F.col("o").cast("double"))).alias("ewma"))
 
 
 def is_burst(as_of_us: int, cfg: AnomalyConfig) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.functions.text import floor_to
+from crestline.functions.text import floor_to, ring_index
 
 
 def pane_counts(events: DataFrame, pane_us: int) -> DataFrame:
@@ -42,6 +42,21 @@ def sliding_counts(panes: DataFrame, size_us: int, pane_us: int) -> DataFrame:
     return panes.select("query", "pane_us", F.sum("cnt").over(frame).alias("window_cnt"))
 
 
+def latest_in_ring(panes: DataFrame, pane_us: int, slots: int) -> DataFrame:
+    """The panes that a ring of ``slots`` places still holds: a pane goes when a later one needs its place.
+
+    One row for each place is aggregated and joined back; their number is fixed.
+    """
+    placed = panes.withColumn("slot", ring_index(F.col("pane_us"), pane_us, slots))
+    newest = placed.groupBy("slot").agg(F.max("pane_us").alias("newest"))
+    return placed.join(newest, "slot").where("pane_us = newest").select("slot", *panes.columns)
+
+
+def bucket_count(size_us: int, pane_us: int) -> int:
+    """Panes in a window."""
+    return size_us // pane_us
+
+
 def expire(panes: DataFrame, as_of_us: int, keep_us: int) -> DataFrame:
     """A pane table without panes that no window can use any more."""
     return panes.where(F.col("pane_us") > as_of_us - keep_us)

@@ -26,6 +26,12 @@ def contains(stop: DataFrame, word: str) -> bool:
     return not stop.where(F.col("word") == word).isEmpty()
 
 
+def contains_all(stop: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, listed) for each row of words, as they are written; Spark broadcasts the list if its size allows."""
+    listed_words = stop.select("word").distinct().withColumn("listed", F.lit(True))
+    return words.select(F.col(words.columns[0]).alias("word")).join(listed_words, "word", "left").select("word", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
 def listed(stop: DataFrame) -> DataFrame:
     """In byte order."""
     return stop.select("word").orderBy("word")

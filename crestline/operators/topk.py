@@ -6,9 +6,13 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crestline.sources.storage import materialise
+
 MAX_TRACKED = 1_000_000
 
 
@@ -96,18 +100,26 @@ class SpaceSaving:
 def space_saving(events: DataFrame, capacity: int, n: int, fan_in: int = 32, column: str = "query") -> DataFrame:
     """(query, cnt, error) of merged Space-Saving summaries: one in each task, merged ``fan_in`` at a time.
 
-    The result depends on how rows fall into tasks, its bounds do not. No merge task holds more than fan_in summaries.
+    A task counts each batch of rows in Arrow and adds a key once for the batch, not once for a row. The summaries, at
+    most ``capacity`` rows a task, are written before they are merged. The result depends on how rows fall into tasks, its
+    bounds do not: the largest n that are kept hold every key with more than a share of 1/capacity of all rows. No
+    merge task holds more than fan_in summaries. Null keys are not counted.
     """
+    names, columns = ["query", "cnt", "error", "part"], "query string, cnt long, error long, part long"
+
+    def rows_of(sketch: SpaceSaving, part: int) -> pd.DataFrame:
+        return pd.DataFrame([(*x, part) for x in sketch.entries()], columns=names).astype({"cnt": "int64", "error": "int64", "part": "int64"})
 
-    def rows_of(sketch: SpaceSaving) -> pd.DataFrame:
-        return pd.DataFrame(sketch.entries(), columns=["query", "cnt", "error"]).astype({"cnt": "int64", "error": "int64"})
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch = SpaceSaving(capacity)
         for batch in batches:
-            for key in batch["query"].dropna():
-                sketch.add(key)
-        yield rows_of(sketch)
+            for key, times in zip(*pc.value_counts(batch.column(0).drop_null()).flatten(), strict=True):
+                sketch.add(key.as_py(), times.as_py())
+        rows = sketch.entries()
+        cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([TaskContext.get().partitionId()] * len(rows), pa.int64())], names=names)
 
     def merged(part: pd.DataFrame) -> pd.DataFrame:
         sketch = SpaceSaving(capacity)
@@ -118,12 +130,12 @@ def space_saving(events: DataFrame, capacity: int, n: int, fan_in: int = 32, col
                 c, _, t = other._of[key]
                 other._of[key] = (c, error, t)
             sketch.merge(other)
-        return rows_of(sketch).assign(part=int(part["part"].iloc[0]) // fan_in)
+        return rows_of(sketch, int(part["part"].iloc[0]) // fan_in)
 
-    now = events.select(F.col(column).alias("query")).mapInPandas(local, "query string, cnt long, error long").withColumn("part", F.spark_partition_id())
-    parts = max(1, events.rdd.getNumPartitions())
+    now = materialise(events.select(F.col(column).cast("string").alias("query")).mapInArrow(local, columns), "summaries")
+    parts = (now.agg(F.max("part")).first()[0] or 0) + 1
     while True:
-        now = now.groupBy(F.floor(F.col("part") / fan_in)).applyInPandas(merged, "query string, cnt long, error long, part long")
+        now = now.groupBy(F.floor(F.col("part") / fan_in)).applyInPandas(merged, columns)
         if parts <= fan_in:
             break
         parts = -(-parts // fan_in)

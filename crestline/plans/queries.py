@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from crestline.operators import dedup, panes, stoplist, topk
 from crestline.operators.anomaly import anomaly_flags, ewma_at, ewma_history
 from crestline.operators.events import normalize, with_reject_reason
 from crestline.operators.snapshot import first
-from crestline.plans.trending import classify, trending, valid_events
+from crestline.plans.trending import classify, since_us, trending, valid_events
 from crestline.sources.events import decode_json, encode_json, user_events
 from crestline.sources.generator import generate_events
 from crestline.sources.storage import scratch
@@ -31,15 +32,22 @@ CFG = Config(
     anomaly=AnomalyConfig(bucket_s=HOUR, threshold=2.0, min_age_s=24 * HOUR, ttl_s=240 * HOUR),
     snapshot=SnapshotConfig(max_size=50),
 )
-STOP = ["purchase", " K13 ", "42", "7"]
+#: events may be twice as old as the window, so that some come too late for it
+TWO_DAYS = replace(CFG, max_age_s=48 * HOUR)
+STOP = ["purchase", " K13 ", "42", "7", " \t "]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str, query: str = "event_type") -> DataFrame:
-    return user_events(table(spark, sf_dir, "events"), query)
+def events(spark: SparkSession, sf_dir: str, query: str = "event_type", first_us: int | None = None, last_us: int | None = None) -> DataFrame:
+    return user_events(table(spark, sf_dir, "events"), query, first_us, last_us)
+
+
+def recent(spark: SparkSession, sf_dir: str, query: str, cfg: Config = CFG) -> DataFrame:
+    """The events that a snapshot at AS_OF can depend on."""
+    return events(spark, sf_dir, query, since_us(cfg, AS_OF)[1], AS_OF)
 
 
 def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +57,7 @@ def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     nobody = n % 79 == 0
     return rows.select(
         F.when(n % 97 == 0, "").otherwise(F.col("event_id")).alias("event_id"),
-        F.when(n % 89 == 0, " \t ").when(n % 83 == 0, F.repeat(F.lit("x"), 257)).otherwise(F.concat(F.lit("  "), F.upper("query"), F.lit("\t\n Z "))).alias("query"),
+        F.when(n % 73 == 0, F.unhex(F.lit("FFFEFD")).cast("string")).when(n % 89 == 0, " \t ").when(n % 83 == 0, F.repeat(F.lit("x"), 257)).otherwise(F.concat(F.lit("  "), F.upper("query"), F.lit("\t\n Z "))).alias("query"),
         F.when(nobody, " ").otherwise(F.col("user_id")).alias("user_id"),
         F.when(nobody, "").otherwise(F.col("session_id")).alias("session_id"),
         "timestamp",
@@ -79,7 +87,8 @@ def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(dirty_events(spark, sf_dir), CFG, AS_OF).groupBy("status").agg(F.count("*").alias("n"))
+    rows = dirty_events(spark, sf_dir).withColumn("malformed", F.col("event_id").endswith("7") & F.col("event_id").startswith("1"))
+    return classify(rows, TWO_DAYS, AS_OF).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def identity_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,11 +158,11 @@ def stoplist_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trending_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trending(events(spark, sf_dir, "k"), AS_OF, CFG, _stop(spark))
+    return trending(recent(spark, sf_dir, "k"), AS_OF, CFG, _stop(spark))
 
 
 def trending_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first(trending(events(spark, sf_dir, "k"), AS_OF, CFG, _stop(spark)), 10)
+    return first(trending(recent(spark, sf_dir, "k"), AS_OF, CFG, _stop(spark)), 10)
 
 
 def topk_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,11 +283,11 @@ def _ew(source: str) -> str:
 
 
 _FLAG = f"{AS_OF} - first_us >= {round(CFG.anomaly.min_age_s * 1e6)} and {AS_OF} - last_us <= {_TTL} and ewma >= 1 and current > ewma * {CFG.anomaly.threshold}::double"
-_ST = "st as (select * from (values " + ", ".join(f"('{w.strip().lower()}')" for w in STOP) + ") t(word))"
+_ST = "st as (select * from (values " + ", ".join(f"('{w.strip().lower()}')" for w in STOP if w.strip()) + ") t(word))"
 _DIRTY = """dy as (select event_id as n, case when event_id % 97 = 0 then '' else event_id::varchar end as event_id,
-        case when event_id % 89 = 0 then '' when event_id % 83 = 0 then repeat('x', 257) else event_type || ' z' end as query,
+        case when event_id % 73 = 0 then 'invalid' when event_id % 89 = 0 then '' when event_id % 83 = 0 then repeat('x', 257) else event_type || ' z' end as query,
         case when event_id % 79 = 0 then 's:' when user_id % 10 = 0 then 's:s' || user_id else 'u:' || user_id end as identity, epoch_us(ts) as ts_us from events)"""
-_REASON = f"""case when event_id = '' then 'empty_event_id' when query = '' then 'empty_query' when length(query) > 256 then 'query_too_long'
+_REASON = f"""case when event_id = '' then 'empty_event_id' when query = '' then 'empty_query' when n % 73 = 0 then 'invalid_utf8' when length(query) > 256 then 'query_too_long'
         when identity = 's:' then 'no_identifier' when ts_us > {AS_OF} then 'future_time' when {AS_OF} - ts_us > {_DAY} then 'stale_event' else 'ok' end"""
 _SNAP = f"""{_ev("k")}, {_DD}, uk as (select * from un where keep and ts_us <= {AS_OF}), {_pn("uk")}, {_ew("pn")},
         uw as (select * from uk where ts_us > {AS_OF - CFG.window.size_us}), {_pn("uw", "pw")}, {_ST},
@@ -288,14 +297,20 @@ _SNAP = f"""{_ev("k")}, {_DD}, uk as (select * from un where keep and ts_us <= {
                from ca left join ew using (query) where ca.query not in (select word from st)),
         sn as (select query, trunc(score)::bigint as count, score, anomaly from sc order by score desc, query limit {CFG.snapshot.max_size})"""
 
+
+
+def _uniform_sql(name: str, seed: int = 7) -> str:
+    return f"('0x' || substr(md5('{name}-{seed}-' || i), 1, 13))::bigint / 4503599627370496::double"
+
+
 ORACLE_SQL: dict[str, str] = {
     "normalize_documents": f"select doc_id, {_norm('text')} as query, length({_norm('text')})::bigint as chars, length({_norm('text')}) > 256 as too_long from documents",
     "reject_reasons": f"with {_DIRTY} select event_id, ts_us, identity, {_REASON} as reason from dy",
-    "status_counts": f"""with {_DIRTY}, rs as (select *, {_REASON} as reason from dy),
-        ok as (select *, lag(ts_us // {_ROT}) over (partition by identity, query order by ts_us, event_id) as before from rs where reason = 'ok'),
+    "status_counts": f"""with {_DIRTY}, rs as (select *, event_id like '1%7' as malformed, {_REASON.replace(str(_DAY), str(2 * _DAY))} as reason from dy),
+        ok as (select *, lag(ts_us // {_ROT}) over (partition by identity, query order by ts_us, event_id) as before from rs where reason = 'ok' and not malformed),
         al as (select case when not (before is null or ts_us // {_ROT} - before >= {CFG.dedup.rotations}) then 'dropped_dedup'
                            when ts_us > {AS_OF} or {AS_OF} - ts_us >= {CFG.window.size_us} then 'dropped_stale' else 'ok' end as status from ok
-               union all select 'dropped_validation' from rs where reason <> 'ok')
+               union all select case when malformed then 'dropped_unmarshal' else 'dropped_validation' end from rs where reason <> 'ok' or malformed)
         select status, count(*) as n from al group by 1""",
     "identity_key": f"with {_ev()} select identity, count(*) as n from ev group by 1",
     "dedup_rotating": f"with {_ev()}, {_DD} select identity, query, ts_us, id as event_id from un where keep",
@@ -312,7 +327,7 @@ ORACLE_SQL: dict[str, str] = {
     "ewma_at": f"with {_ev()}, {_pn()}, {_ew('pn')} select query, round(ewma, 6) as ewma, current, first_us, last_us from ew",
     "ewma_history": f"""with {_ev()}, {_pn()}, nu as (select *, pane_us // {CFG.anomaly.bucket_us} as i from pn)
         select a.query, a.pane_us, a.cnt, round(coalesce(sum({CFG.anomaly.alpha}::double * pow({1 - CFG.anomaly.alpha}::double, a.i - 1 - b.i) * b.cnt), 0), 6) as ewma
-        from nu a left join nu b on a.query = b.query and b.i < a.i and b.i >= a.i - 200 group by 1, 2, 3""",
+        from nu a left join nu b on a.query = b.query and b.i < a.i group by 1, 2, 3""",
     "anomaly_flags": f"with {_ev('k')}, {_pn()}, {_ew('pn')} select query, round(ewma, 6) as ewma, current, {_FLAG} as anomaly from ew",
     "stoplist_filter": f"with {_ev('k')}, {_pn()}, {_WC}, {_ST} select * from wc where query not in (select word from st)",
     "stoplist_edit": f"with {_ST} select word from (select word from st union select lower(n_name) from nation) where word not in (select lower(n_name) from nation where n_regionkey = 1)",
@@ -326,6 +341,13 @@ ORACLE_SQL: dict[str, str] = {
                case when malformed or user_id % 10 = 0 then '' else user_id::varchar end as user_id,
                case when not malformed and user_id % 10 = 0 then 's' || user_id else '' end as session_id,
                case when not malformed then epoch_us(ts) end as ts_us, malformed from b""",
+    "generated_events": f"""with ra as (select i as rank, pow(1 + i, -1.2::double) as w from range(5000) t(i)),
+        cu as (select rank, sum(w) over (order by rank) as hi from ra),
+        zi as (select rank, coalesce(lag(hi) over (order by rank), 0) / (select max(hi) from cu) as lo from cu),
+        ge as (select i as id, {_uniform_sql("query")} as u, {_uniform_sql("bot")} < 0.3 as bot, {_uniform_sql("who")} as who from range(20000) t(i)),
+        na as (select ge.*, zi.rank from ge asof join zi on ge.u >= zi.lo)
+        select case when bot then 'fake-trend' else 'query-' || rank end as query, count(*) as n,
+               count(distinct case when bot then 'bot-' || floor(who * 20)::bigint else 'user-' || floor(who * 50000)::bigint end) as users from na group by 1""",
     "stream_panes": f"with {_ev()}, {_pn()} select * from pn",
     "stream_dedup": f"with {_ev()}, {_DD} select identity, query, ts_us, id as event_id from un where keep",
     "stream_windows": f"""with {_ev()}, {_pn()} select query, pane_us, cnt from pn

@@ -35,19 +35,39 @@ def decode_json(messages: DataFrame, value: str = "value") -> DataFrame:
     return parsed.withColumn("malformed", wrong).withColumn("_when", when).select(*rest, *fields, F.when(~F.col("malformed"), F.col("_when")).alias("timestamp"), "malformed")
 
 
-def kafka_events(spark: SparkSession, brokers: list[str], topic: str, max_offsets: int | None = None, starting: str = "earliest") -> DataFrame:
-    """A topic as a stream of decoded events; needs Spark's Kafka connector. max_offsets bounds each batch."""
-    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", ",".join(brokers)).option("subscribe", topic).option("startingOffsets", starting)
+def decode_messages(messages: DataFrame) -> DataFrame:
+    """Decode rows as a topic gives them (key, value, topic, partition, offset, timestamp, ...): only values count."""
+    return decode_json(messages.select("value"))
+
+
+def encode_messages(events: DataFrame) -> DataFrame:
+    """(key, value) as a topic takes them: JSON messages keyed by event_id, both in UTF-8."""
+    return events.select(F.col("event_id").cast("binary").alias("key"), encode_json(events).cast("binary").alias("value"))
+
+
+def kafka_options(brokers: list[str], topic: str, group_id: str | None = None, max_offsets: int | None = None, starting: str = "earliest") -> dict[str, str]:
+    """What Spark's Kafka source is told. max_offsets bounds a batch; a lost offset does not stop the stream."""
+    if not brokers or not topic:
+        raise ValueError("brokers and a topic are needed")
+    out = {"kafka.bootstrap.servers": ",".join(brokers), "subscribe": topic, "startingOffsets": starting, "failOnDataLoss": "false"}
+    if group_id:
+        out["groupIdPrefix"] = group_id
     if max_offsets:
-        reader = reader.option("maxOffsetsPerTrigger", str(max_offsets))
-    return decode_json(reader.load().select("value"))
+        out["maxOffsetsPerTrigger"] = str(max_offsets)
+    return out
+
+
+def kafka_events(spark: SparkSession, brokers: list[str], topic: str, max_offsets: int | None = None, starting: str = "earliest", group_id: str | None = None) -> DataFrame:
+    """A topic as a stream of decoded events; needs Spark's Kafka connector."""
+    return decode_messages(spark.readStream.format("kafka").options(**kafka_options(brokers, topic, group_id, max_offsets, starting)).load())
 
 
 def write_kafka(events: DataFrame, brokers: list[str], topic: str, checkpoint: str):
-    """Send events as JSON messages keyed by event_id; needs Spark's Kafka connector."""
-    rows = events.select(F.col("event_id").alias("key"), encode_json(events).alias("value"))
-    writer = rows.writeStream.format("kafka").option("kafka.bootstrap.servers", ",".join(brokers)).option("topic", topic)
-    return writer.option("checkpointLocation", checkpoint).start()
+    """Send a stream of events as messages, or a table of events at once; needs Spark's Kafka connector."""
+    rows, options = encode_messages(events), {"kafka.bootstrap.servers": ",".join(brokers), "topic": topic}
+    if not events.isStreaming:
+        return rows.write.format("kafka").options(**options).save()
+    return rows.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint).start()
 
 
 def encode_json(events: DataFrame) -> Column:
@@ -55,11 +75,17 @@ def encode_json(events: DataFrame) -> Column:
     return F.to_json(F.struct("event_id", "query", "user_id", "session_id", stamp.alias("timestamp")))
 
 
-def user_events(table: DataFrame, query: str = "event_type") -> DataFrame:
+def user_events(table: DataFrame, query: str = "event_type", first_us: int | None = None, last_us: int | None = None) -> DataFrame:
     """The user-event table in the shape of EVENT: each tenth user is a guest, known by session only.
 
-    query: event_type, or k for the number in the properties.
+    query: event_type, or k for the number in the properties. Rows before first_us or after last_us are not read: the
+    comparison is made on the column as it is stored, so that it reaches the scan.
     """
+    kind = table.schema["ts"].dataType.simpleString()
+    for us, op in ((first_us, ">="), (last_us, "<=")):
+        if us is not None:
+            bound = F.timestamp_micros(F.lit(us)).cast(kind)
+            table = table.where(F.col("ts") >= bound if op == ">=" else F.col("ts") <= bound)
     key = F.col("event_type") if query == "event_type" else F.get_json_object("props", f"$.{query}")
     guest = F.col("user_id") % 10 == 0
     return table.select(

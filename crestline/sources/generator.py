@@ -11,8 +11,9 @@ CELLS = 1024
 
 
 def _uniform(seed: int, name: str, key: str = "id") -> Column:
-    """Uniform in [0, 1) from a hash of the row's number: the same on every run and in every partitioning."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(name), F.lit(seed), F.col(key)), 11)).cast("double") / F.lit(float(1 << 53))
+    """Uniform in [0, 1) from the MD5 of the row's number: the same on every run, in every partitioning and in any engine."""
+    digits = F.md5(F.concat_ws("-", F.lit(name), F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return F.conv(F.substring(digits, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
 def zipf_table(spark: SparkSession, queries: int, s: float = 1.2, v: float = 1.0) -> DataFrame:

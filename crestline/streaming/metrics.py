@@ -91,8 +91,32 @@ def observed(events: DataFrame, name: str = "statuses") -> DataFrame:
     return events.observe(name, *(F.count_if(F.col("status") == s).alias(s) for s in statuses))
 
 
+def observed_received(events: DataFrame) -> DataFrame:
+    """Count malformed, invalid and valid events on the way: (malformed, reject_reason) as received_stream gives them."""
+    bad, invalid = F.col("malformed"), ~F.col("malformed") & F.col("reject_reason").isNotNull()
+    return events.observe("received", F.count_if(bad).alias("dropped_unmarshal"), F.count_if(invalid).alias("dropped_validation"), F.count_if(~bad & ~invalid).alias("valid"))
+
+
+def observed_unique(events: DataFrame, now: Column, size_us: int) -> DataFrame:
+    """Count the events that are no repeats on the way: those that a window of this size takes, and those too old for it."""
+    late = now - F.col("ts_us") >= size_us
+    return events.observe("unique", F.count_if(~late).alias("ok"), F.count_if(late).alias("dropped_stale"))
+
+
+def lag_of(end: Column, latest: Column) -> Column:
+    """Messages of a topic that are not read yet, from offsets as progress reports them: {"topic": {"partition": offset}}."""
+    kind = "map<string,map<string,bigint>>"
+    flat = lambda c: F.flatten(F.transform(F.map_entries(F.from_json(c, kind)), lambda t: F.transform(F.map_entries(t["value"]), lambda p: F.struct(F.concat_ws("/", t["key"], p["key"]).alias("k"), p["value"].alias("n")))))
+    done = F.map_from_entries(flat(end))
+    return F.aggregate(flat(latest), F.lit(0).cast("long"), lambda a, x: a + F.greatest(x["n"] - F.coalesce(F.try_element_at(done, x["k"]), F.lit(0)), F.lit(0)))
+
+
 class ProgressListener(StreamingQueryListener):
-    """Feeds a Metrics object from streaming progress: observed statuses, batch duration and source lag."""
+    """Feeds a Metrics object from streaming progress: observed statuses, batch duration and source lag.
+
+    Statuses come as counts of each (``statuses``), or as counts of what was received and of what was no repeat, whose
+    difference are the repeats.
+    """
 
     def __init__(self, metrics: Metrics, name: str = "statuses"):
         self._metrics, self._name = metrics, name
@@ -108,10 +132,13 @@ class ProgressListener(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         progress = event.progress
-        row = (progress.observedMetrics or {}).get(self._name)
-        if row is not None:
-            for status, n in row.asDict().items():
-                self._metrics.add("trending_events_consumed_total", n, status=status)
+        seen = {k: v.asDict() for k, v in (progress.observedMetrics or {}).items()}
+        counts = dict(seen.get(self._name, {}))
+        if "received" in seen:
+            counts |= seen["received"] | seen.get("unique", {})
+            counts["dropped_dedup"] = counts.pop("valid") - counts.get("ok", 0) - counts.get("dropped_stale", 0)
+        for status, n in counts.items():
+            self._metrics.add("trending_events_consumed_total", n or 0, status=status)
         self._metrics.observe("trending_event_processing_duration_seconds", (progress.batchDuration or 0) / 1000)
         for source in progress.sources:
             lag = (source.metrics or {}).get("maxOffsetsBehindLatest")

@@ -89,6 +89,13 @@ def serve(service: Service, host: str = "127.0.0.1", port: int = 8080) -> Thread
 
     class Handler(BaseHTTPRequestHandler):
         def _answer(self) -> None:
+            service.metrics.add("trending_http_requests_in_flight", 1)
+            try:
+                self._respond()
+            finally:
+                service.metrics.add("trending_http_requests_in_flight", -1)
+
+        def _respond(self) -> None:
             began, url = time.perf_counter(), urlparse(self.path)
             request = self.headers.get("X-Request-ID") or uuid.uuid4().hex
             try:

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 
@@ -7,7 +8,7 @@ from crestline.plans.trending import classify, trending
 from crestline.sources.events import decode_json, encode_json
 from crestline.sources.generator import generate_events, zipf_table
 from crestline.streaming.metrics import Metrics, ProgressListener, observed
-from crestline.streaming.trending import SnapshotHolder, publishing, read_panes, start_panes, valid_stream
+from crestline.streaming.trending import SnapshotHolder, pane_sink, publishing, read_panes, start_panes, valid_stream
 
 S = 1_000_000
 NOW = 1_779_624_000 * S
@@ -87,7 +88,7 @@ def test_tiny_inputs(spark, n):
 def test_service_on_a_stream(spark, tmp_path):
     from crestline.streaming.live import start
     from crestline.streaming.serve import Service, StopWords
-    from crestline.streaming.trending import expire_batches
+    from crestline.streaming.trending import compact
 
     rows = [event(i, f"q{i % 3}", f"u{i % 30}", i % 90) for i in range(90)] + [event(500 + i, "q0", "bot", 1 + i % 5) for i in range(50)]
     good = spark.createDataFrame(rows, SCHEMA)
@@ -95,18 +96,26 @@ def test_service_on_a_stream(spark, tmp_path):
     messages.coalesce(1).write.text(str(tmp_path / "in"))
     holder, stop, metrics = SnapshotHolder(), StopWords(), Metrics()
     stop.add("q2")
+    spark.streams.addListener(listener := ProgressListener(metrics))
     stream = decode_json(spark.readStream.text(str(tmp_path / "in")))
     path = str(tmp_path / "panes")
     query = start(stream, Config(), path, str(tmp_path / "state"), holder, stop, metrics, clock=lambda: NOW, wall_clock=False, availableNow=True)
     query.awaitTermination(120)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    time.sleep(1)
+    spark.streams.removeListener(listener)
     service = Service(holder, stop, metrics)
     status, body = service.handle("GET", "/api/v1/trending", {"limit": "5"})
     want = trending(good, NOW, Config(), stop.table(spark)).collect()
     assert status == 200 and [(x["query"], x["count"]) for x in body["data"]] == [(r.query, r["count"]) for r in want]
     assert metrics.value("trending_snapshot_size") == 2 and metrics.value("trending_stoplist_size") == 1
-    assert expire_batches(spark, path, NOW - 600 * S) == 0
-    assert expire_batches(spark, path, NOW + 600 * S) >= 1 and read_panes(spark, path).count() == 0
-    assert expire_batches(spark, str(tmp_path / "nothing"), NOW) == 0
+    assert {s: metrics.value("trending_events_consumed_total", status=s) for s in ("ok", "dropped_dedup", "dropped_unmarshal")} == {"ok": 91, "dropped_dedup": 49, "dropped_unmarshal": 1}
+    panes = read_panes(spark, path).collect()
+    assert compact(spark, path, 0, NOW - 600 * S) == 0 and compact(spark, path, 100, NOW - 600 * S) >= 1
+    assert sorted(read_panes(spark, path).collect()) == sorted(panes) and compact(spark, path, 101, 0) == 0
+    pane_sink(path, 10 * S)(spark.createDataFrame([("q9", NOW)], "query string, ts_us long"), 100)
+    assert compact(spark, path, 101, NOW + 600 * S) == 2 and read_panes(spark, path).count() == 0
+    assert compact(spark, str(tmp_path / "nothing"), 5, NOW) == 0
 
 
 def test_command_line(spark, tmp_path):
@@ -131,11 +140,40 @@ def test_logging(capsys):
 
 
 def test_replayed_batch_counts_once(spark, tmp_path):
-    from crestline.streaming.trending import pane_sink
-
     sink, path = pane_sink(str(tmp_path / "panes"), 10 * S), str(tmp_path / "panes")
     batch = spark.createDataFrame([("a", NOW), ("a", NOW + S), ("b", NOW)], "query string, ts_us long")
     sink(batch, 0)
     sink(batch, 0)
     sink(batch.limit(1), 1)
     assert {r.query: r.cnt for r in read_panes(spark, path).collect()} == {"a": 3, "b": 1}
+
+
+def test_snapshot_reads_only_what_matters(spark, tmp_path):
+    """Old events change nothing, and the bounds reach the scan."""
+    rows = [event(i, f"q{i % 5}", f"u{i % 9}", i * 3 % 900) for i in range(400)]
+    rows += [event(1000 + i, "q0", f"old{i}", 40_000 + i) for i in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(str(tmp_path / "events"))
+    plan = trending(spark.read.parquet(str(tmp_path / "events")), NOW, Config())
+    assert "GreaterThanOrEqual(timestamp" in plan._jdf.queryExecution().toString()
+    assert plan.collect() == trending(df.where("query <> 'q0' or not user_id like 'old%'"), NOW, Config()).collect()
+
+
+def test_closed_epochs_in_any_order(spark, tmp_path):
+    import random
+
+    from crestline.operators.dedup import drop_repeats
+    from crestline.streaming.dedup import drop_repeats_closed
+
+    rng = random.Random(2)
+    rows = [(f"u:{rng.randrange(4)}", f"q{rng.randrange(3)}", (1000 + i * 3 + rng.randrange(100)) * S, f"{i:06d}") for i in range(400)]
+    df = spark.createDataFrame(rows, "identity string, query string, ts_us long, event_id string").selectExpr("*", "timestamp_micros(ts_us) as timestamp")
+    for k in range(4):
+        df.where(f"cast(event_id as int) div 100 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = drop_repeats_closed(stream, 10 * S, 3, "100 seconds")
+    query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    closed = max(r[2] for r in rows) - 100 * S
+    want = {tuple(r) for r in drop_repeats(df, 10 * S, 3).collect() if (r.ts_us // (10 * S) + 1) * 10 * S < closed}
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want and len(want) > 30

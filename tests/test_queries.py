@@ -1,7 +1,9 @@
 import duckdb
 import pytest
 
-from crestline.plans.queries import ORACLE_SQL, QUERIES
+from crestline.plans import cases, queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | cases.QUERIES, queries.ORACLE_SQL | cases.ORACLE_SQL
 
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 

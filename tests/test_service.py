@@ -6,7 +6,8 @@ import pytest
 
 from crestline.config import AnomalyConfig, Config, DedupConfig, SnapshotConfig, WindowConfig, csv, seconds
 from crestline.operators import stoplist
-from crestline.streaming.metrics import Metrics, bucket_edges
+from crestline.sources.events import kafka_options
+from crestline.streaming.metrics import Metrics, ProgressListener, bucket_edges
 from crestline.streaming.serve import Service, StopWords, serve
 from crestline.streaming.trending import SnapshotHolder
 
@@ -58,7 +59,8 @@ def test_http():
     with pytest.raises(urllib.error.HTTPError):
         urllib.request.urlopen(f"{base}/api/v1/trending?limit=0", timeout=10)
     with urllib.request.urlopen(f"{base}/metrics", timeout=10) as r:
-        assert b"trending_http_request_duration_seconds_count" in r.read()
+        text = r.read()
+        assert b"trending_http_request_duration_seconds_count" in text and b"trending_http_requests_in_flight 1" in text
     server.shutdown()
 
 
@@ -93,3 +95,62 @@ def test_config_from_env():
     cfg = Config.from_env({"KAFKA_BROKERS": "a:1, b:2,", "WINDOW_SIZE": "1m30s", "BUCKET_DURATION": "15s", "SNAPSHOT_MAX_SIZE": "5", "SNAPSHOT_INTERVAL": "250ms"})
     assert (cfg.brokers, cfg.window.size_s, cfg.window.pane_s, cfg.anomaly.bucket_s, cfg.snapshot.max_size, cfg.snapshot.interval_s) == (("a:1", "b:2"), 90, 15, 15, 5, 0.25)
     assert seconds("1h2m3s") == 3723 and csv(" a,, b ") == ["a", "b"]
+
+
+class Client:
+    """Stands for an admin client of the JVM."""
+
+    def __init__(self, error=None):
+        self.error, self.asked, self.closed = error, [], False
+
+    def createTopics(self, wanted):  # noqa: N802
+        self.asked += list(wanted)
+        return self
+
+    def all(self):
+        return self
+
+    def get(self):
+        if self.error:
+            raise RuntimeError(self.error)
+
+    def close(self):
+        self.closed = True
+
+
+def test_topic(spark, monkeypatch):
+    from crestline.sources import topics
+
+    monkeypatch.setattr(topics, "_new_topic", lambda jvm, *what: ",".join(map(str, what)))
+    for error, new in ((None, True), ("org.apache.kafka.common.errors.TopicExistsException: it is there", False)):
+        client = Client(error)
+        assert topics.ensure_topic(spark, ["a:1"], "t", client=client) is new and client.asked == ["t,3,1"] and client.closed
+    with pytest.raises(RuntimeError):
+        topics.ensure_topic(spark, ["a:1"], "t", client=Client("TimeoutException"))
+
+
+def test_kafka_options():
+    got = kafka_options(["a:1", "b:2"], "t", "g", 500)
+    assert got == {"kafka.bootstrap.servers": "a:1,b:2", "subscribe": "t", "startingOffsets": "earliest", "failOnDataLoss": "false", "groupIdPrefix": "g", "maxOffsetsPerTrigger": "500"}
+    assert "groupIdPrefix" not in kafka_options(["a"], "t") and "maxOffsetsPerTrigger" not in kafka_options(["a"], "t")
+    with pytest.raises(ValueError):
+        kafka_options([], "t")
+
+
+def test_listener_takes_differences():
+    from types import SimpleNamespace as N
+
+    class Row:
+        def __init__(self, **x):
+            self.x = x
+
+        def asDict(self):  # noqa: N802
+            return dict(self.x)
+
+    m = Metrics()
+    seen = {"received": Row(dropped_unmarshal=2, dropped_validation=3, valid=10), "unique": Row(ok=6, dropped_stale=1)}
+    progress = N(observedMetrics=seen, batchDuration=20, sources=[N(metrics={"maxOffsetsBehindLatest": "7"}), N(metrics=None)])
+    ProgressListener(m).onQueryProgress(N(progress=progress))
+    status = lambda s: m.value("trending_events_consumed_total", status=s)
+    assert [status(s) for s in ("ok", "dropped_dedup", "dropped_stale", "dropped_unmarshal", "dropped_validation")] == [6, 3, 1, 2, 3]
+    assert m.value("trending_kafka_consumer_lag") == 7

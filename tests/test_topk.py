@@ -2,7 +2,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from crestline.operators.bloom import bloom_filter, bloom_size, merge_filters, reset, seen_keys
 from crestline.operators.topk import SpaceSaving, pane_top_k, sketch_top_k, space_saving, top_k
 
 
@@ -66,3 +68,29 @@ def test_frames(spark):
     assert {tuple(r)[:2] for r in space_saving(rows.repartition(5), 10, 2, fan_in=2).collect()} == set(expected)
     panes = spark.createDataFrame([("a", 0, 5), ("b", 0, 5), ("c", 0, 1), ("a", 10, 2)], "query string, pane_us long, cnt long")
     assert [(r.pane_us, r.query, r["rank"]) for r in pane_top_k(panes, 2).orderBy("pane_us", "rank").collect()] == [(0, "a", 1), (0, "b", 2), (10, "a", 1)]
+
+
+@pytest.mark.parametrize(("parts", "fan_in"), [(1, 32), (9, 2), (9, 3)])
+def test_merged_summaries_keep_their_bounds(spark, parts, fan_in):
+    rng, true = random.Random(parts), Counter()
+    keys = [f"k{int(rng.paretovariate(0.6)) % 2000}" for _ in range(20_000)]
+    true.update(keys)
+    rows = spark.createDataFrame([(k,) for k in [*keys, None]], "query string").repartition(parts)
+    found = {r.query: (r.cnt, r.error) for r in space_saving(rows, 100, 100, fan_in=fan_in).collect()}
+    assert len(found) == 100 and all(true[k] <= c and c - e <= true[k] for k, (c, e) in found.items())
+    assert all(k in found for k, n in true.items() if n > 20_000 / 100)
+
+
+def test_filters(spark):
+    bits, hashes = bloom_size(2000, 0.01)
+    assert bits % 64 == 0 and bloom_size(1, 0.9)[0] == 64
+    rows = spark.range(30_000).selectExpr("cast(id as string) as k")
+    key = F.col("k")
+    made = bloom_filter(rows.where("cast(k as int) < 2000"), key, bits, hashes)
+    seen = {int(r.key): r.seen for r in seen_keys(rows.union(rows.limit(5)), key, made, bits, hashes).collect()}
+    assert all(seen[i] for i in range(2000)) and len(seen) == 30_000
+    assert sum(seen[i] for i in range(2000, 30_000)) / 28_000 <= 0.025
+    assert not any(r.seen for r in seen_keys(rows.limit(50), key, reset(made), bits, hashes).collect())
+    again = merge_filters(made, made)
+    assert sorted(again.collect()) == sorted(made.collect()) and made.count() <= bits // 32
+    assert bloom_filter(spark.createDataFrame([(None,)], "k string"), key, bits, hashes).count() == 0

@@ -4,7 +4,7 @@ import pytest
 
 from crestline.config import AnomalyConfig, SnapshotConfig
 from crestline.operators import panes
-from crestline.operators.anomaly import anomaly_flags, ewma_at, ewma_history
+from crestline.operators.anomaly import anomaly_flags, ewma_at, ewma_history, reach
 from crestline.operators.snapshot import first, parse_limit, rank
 
 S = 1_000_000
@@ -104,6 +104,24 @@ def test_closed_form_equals_recurrence(spark):
     assert newest == {q: pytest.approx(m, abs=1e-9) for q, (m, _) in expected.items()}
 
 
+@pytest.mark.parametrize("alpha", [1.0, 0.9, 0.3, 0.01, 0.001])
+def test_history_equals_recurrence(spark, alpha):
+    rng, rows, expected = random.Random(4), [], {}
+    for q in range(6):
+        mean, last = 0.0, None
+        for i in sorted(rng.sample(range(-30, 3000), 200)):
+            n = rng.randrange(1, 10**rng.randrange(1, 9))
+            if last is not None:
+                mean = (alpha * last[1] + (1 - alpha) * mean) * (1 - alpha) ** (i - last[0] - 1)
+            expected[f"q{q}", i * D] = mean
+            last = i, n
+            rows.append((f"q{q}", i * D, n, i * D, i * D))
+    p = spark.createDataFrame(rows, "query string, pane_us long, cnt long, first_us long, last_us long")
+    got = {(r.query, r.pane_us): r.ewma for r in ewma_history(p, AnomalyConfig(alpha=alpha)).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-9, abs=1e-9) for k, v in expected.items()}
+    assert reach(alpha) == 1 if alpha == 1 else (1 - alpha) ** reach(alpha) <= 1e-12 < (1 - alpha) ** (reach(alpha) - 1)
+
+
 def counts_frame(spark, counts):
     return spark.createDataFrame(list(counts.items()), "query string, cnt long")
 
