@@ -5,10 +5,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, else the folder set on the context; a temporary one only under a local master."""
@@ -34,16 +39,46 @@ def scratch(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: short lineage that outlives any executor."""
     path = scratch(df.sparkSession, label)
+    for made in getattr(_open, "scopes", ()):
+        made.paths.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._crestline_path = path
     return out
 
 
+class Made:
+    """Paths of the tables that were written while a scope was open."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame) -> None:
+        self.paths = [p for p in self.paths if p != getattr(df, "_crestline_path", None)]
+
+
+@contextmanager
+def scratch_scope() -> Iterator[Made]:
+    """Delete the tables that this thread writes inside, except those that are kept; also if it fails."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    made = Made()
+    scopes.append(made)
+    try:
+        yield made
+    finally:
+        scopes.remove(made)
+        spark = SparkSession.getActiveSession()
+        for path in made.paths if spark is not None else ():
+            _delete(spark, path)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table of ``materialise`` that nothing reads any more."""
     path = getattr(df, "_crestline_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
