@@ -23,7 +23,8 @@ ARCHIVE_BYTES = 8 << 20
 DICTIONARY_BYTES = 16 << 10
 SAMPLE_RECORDS = 64
 SAMPLE_BYTES = 1 << 20
-MAX_RECORD = 1 << 30
+#: a value of a table has at most 2 GiB, so no record that was written is larger; a larger claim is damage
+MAX_RECORD = (1 << 31) + (1 << 20)
 #: Magic numbers of skippable frames (sixteen from the first), of frames and of dictionaries.
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A50, 0xFD2FB528, 0xEC30A437
 _WARC_SKIPPABLE = 0x184D2A5D
@@ -139,6 +140,18 @@ def frame_end(data: memoryview, at: int) -> int:
     return pos
 
 
+def _decoded(decoder: zstandard.ZstdDecompressor, frame: bytes) -> bytes:
+    """A frame that does not say its size, piece by piece, so that no more memory is taken than it needs."""
+    out, total = [], 0
+    with decoder.stream_reader(frame) as reader:
+        while part := reader.read(1 << 20):
+            total += len(part)
+            if total > MAX_RECORD:
+                raise ValueError("record is too large")
+            out.append(part)
+    return b"".join(out)
+
+
 def archive_records(content: bytes) -> Iterator[bytes | ValueError]:
     """The records of an archive in order; a frame that cannot be decoded gives the error in its place.
 
@@ -156,7 +169,7 @@ def archive_records(content: bytes) -> Iterator[bytes | ValueError]:
             if first:
                 raw = bytes(data[at + 8 : at + 8 + size])
                 if int.from_bytes(raw[:4], "little") == FRAME:
-                    raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=MAX_RECORD)
+                    raw = _decoded(zstandard.ZstdDecompressor(), raw)
                 dictionary = zstandard.ZstdCompressionDict(raw)
                 decoder = zstandard.ZstdDecompressor(dict_data=dictionary)
             at, first = at + 8 + size, False
@@ -174,7 +187,7 @@ def archive_records(content: bytes) -> Iterator[bytes | ValueError]:
             size = zstandard.frame_content_size(frame)
             if size > MAX_RECORD:
                 raise ValueError("record is too large")
-            yield decoder.decompress(frame, max_output_size=MAX_RECORD if size < 0 else 0)
+            yield decoder.decompress(frame) if size >= 0 else _decoded(decoder, frame)
         except (ValueError, zstandard.ZstdError) as e:
             yield ValueError(str(e))
         at = end
