@@ -5,21 +5,26 @@ document is cut into blocks of u shingles, so that a short item meets pieces of
 and their Jaccard similarity stays well above zero however long the document is. A block and an item that agree on one
 of the MinHash values are candidates; the item's distinct shingles that occur anywhere in the whole document are then
 counted word by word.
+
+However many items there are, documents are read and hashed once: distinct item texts are dealt into indexes of bounded
+size, each a broadcast of its own, and a task holds one of them at a time against the minima of a slice of documents.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from crestline.llm.common import ALNUM, byte_texts
+from crestline.llm.common import ALNUM, byte_texts, materialise
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -64,78 +69,101 @@ def _permuted(h: np.ndarray, k: int) -> np.ndarray:
 
 class Index(NamedTuple):
     ids: list
-    shingles: list[set[bytes]]
-    hashes: list[np.ndarray]  # sorted, of each item
-    partitions: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # size: for each hash function sorted values and items
+    texts: list[bytes]  # words of each item, joined by a space
+    counts: np.ndarray  # distinct shingles of each
+    hashes: np.ndarray  # of all items, sorted within each
+    starts: np.ndarray
+    partitions: dict[int, tuple[np.ndarray, np.ndarray]]  # size: for each hash function sorted values and their items
 
 
 def build_index(items: list[tuple], ngram: int = NGRAM, hashes: int = HASHES) -> Index:
     """The index of (id, text) items; those without words match nothing and are left out."""
-    ids, shingles, hashed, by_size = [], [], [], {}
+    ids, texts, counts, hashed = [], [], [], []
+    by_size: dict[int, list[int]] = {}
     for item, text in items:
         words = words_of((text or "").encode())
         if words:
-            by_size.setdefault(1 << (len(set(shingles_of(words, ngram))) - 1).bit_length(), []).append(len(ids))
+            n = len(set(shingles_of(words, ngram)))
+            by_size.setdefault(1 << (n - 1).bit_length(), []).append(len(ids))
             ids.append(item)
-            shingles.append(set(shingles_of(words, ngram)))
+            texts.append(b" ".join(words))
+            counts.append(n)
             hashed.append(np.unique(shingle_hashes(words, ngram)))
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in hashed])]).astype(np.int64)
     partitions = {}
-    for size, members in by_size.items():
-        tables = []
+    for size, members in sorted(by_size.items()):
+        values, where = np.zeros((hashes, len(members)), np.uint64), np.zeros((hashes, len(members)), np.int32)
         for k in range(hashes):
             low = np.array([_permuted(hashed[i], k).min() for i in members], np.uint64)
             order = np.argsort(low, kind="stable")
-            tables.append((low[order], np.array(members)[order]))
-        partitions[size] = tables
-    return Index(ids, shingles, hashed, dict(sorted(partitions.items())))
+            values[k], where[k] = low[order], np.array(members)[order]
+        partitions[size] = values, where
+    return Index(ids, texts, np.array(counts, np.int64), np.concatenate([np.zeros(0, np.uint64), *hashed]), starts, partitions)
 
 
-def candidates(index: Index, h: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
-    """(document, item) that share a MinHash value in a block; h: shingle hashes of documents that begin at starts."""
-    out: set[tuple[int, int]] = set()
-    size_of = np.diff(starts)
-    blocks = {}
-    for size in index.partitions:
+class Minima(NamedTuple):
+    """MinHash values of the blocks of some documents, for each size and hash function, and the document of each block."""
+
+    values: dict[tuple[int, int], np.ndarray]
+    owners: dict[int, np.ndarray]
+
+
+def block_minima(h: np.ndarray, starts: np.ndarray, sizes: list[int], hashes: int = HASHES) -> Minima:
+    """h: shingle hashes of documents that begin at starts; sizes are powers of two in rising order."""
+    size_of, begins, owners = np.diff(starts), {}, {}
+    for size in sizes:
         of_document = -(-size_of // size)
         owner = np.repeat(np.arange(len(size_of)), of_document)
         first = np.cumsum(of_document) - of_document
-        blocks[size] = (starts[owner] + (np.arange(len(owner)) - first[owner]) * size, owner)
-    for k in range(len(next(iter(index.partitions.values()), []))):
-        low = _permuted(h, k)
-        before = None
-        for size, tables in index.partitions.items():
-            begin, owner = blocks[size]
-            if not len(begin):
-                continue
+        begins[size], owners[size] = starts[owner] + (np.arange(len(owner)) - first[owner]) * size, owner
+    values = {}
+    for k in range(hashes if len(h) else 0):
+        low, before = _permuted(h, k), None
+        for size in sizes:
             # blocks of a larger size are unions of smaller ones
-            low = np.minimum.reduceat(low, begin if before is None else np.searchsorted(before, begin))
-            before = begin
-            values, members = tables[k]
-            left, right = np.searchsorted(values, low, "left"), np.searchsorted(values, low, "right")
+            low = np.minimum.reduceat(low, begins[size] if before is None else np.searchsorted(before, begins[size]))
+            values[size, k], before = low, begins[size]
+    return Minima(values, owners)
+
+
+def candidates(index: Index, minima: Minima) -> set[tuple[int, int]]:
+    """(document, item) that share a MinHash value in a block."""
+    out: set[tuple[int, int]] = set()
+    for size, (values, members) in index.partitions.items():
+        for k in range(len(values)):
+            low = minima.values.get((size, k))
+            if low is None:
+                continue
+            left, right = np.searchsorted(values[k], low, "left"), np.searchsorted(values[k], low, "right")
             for b in np.flatnonzero(right > left):
-                out.update((int(owner[b]), int(i)) for i in members[left[b] : right[b]])
+                out.update((int(minima.owners[size][b]), int(i)) for i in members[k, left[b] : right[b]])
     return out
 
 
 def verify(index: Index, item: int, words: list[bytes], h: np.ndarray, ngram: int) -> int:
     """How many distinct shingles of the item the whole document holds, compared word by word."""
-    at = np.flatnonzero(np.isin(h, index.hashes[item]))
+    at = np.flatnonzero(np.isin(h, index.hashes[index.starts[item] : index.starts[item + 1]]))
     n = min(ngram, len(words))
-    return len(index.shingles[item] & {b" ".join(words[i : i + n]) for i in at})
+    return len(set(shingles_of(index.texts[item].split(b" "), ngram)) & {b" ".join(words[i : i + n]) for i in at})
+
 
+def search(indexes: Callable[[], Iterable[Index]], sizes: list[int], texts: list[bytes], ngram: int = NGRAM, threshold: float = THRESHOLD, hashes: int = HASHES) -> Iterator[tuple[int, object, int, int]]:
+    """(document, item id, shared shingles, item's shingles) at the threshold or above, over all indexes.
 
-def search(index: Index, texts: list[bytes], ngram: int = NGRAM, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, int]]:
-    """(document, item, shared shingles) at the threshold or above; documents are taken a bounded number of words at a time."""
+    Documents are taken a bounded number of words at a time, and hashed once for all indexes.
+    """
     held: list[tuple[int, list[bytes], np.ndarray]] = []
     total = 0
 
-    def found() -> Iterator[tuple[int, int, int]]:
+    def found() -> Iterator[tuple[int, object, int, int]]:
         starts = np.concatenate([[0], np.cumsum([len(x[2]) for x in held])]).astype(np.int64)
-        for d, item in sorted(candidates(index, np.concatenate([x[2] for x in held]), starts)):
-            doc, words, h = held[d]
-            shared = verify(index, item, words, h, ngram)
-            if shared >= threshold * len(index.shingles[item]) - 1e-9:
-                yield doc, item, shared
+        minima = block_minima(np.concatenate([x[2] for x in held]), starts, sizes, hashes)
+        for index in indexes():
+            for d, item in sorted(candidates(index, minima)):
+                doc, words, h = held[d]
+                shared, n = verify(index, item, words, h, ngram), int(index.counts[item])
+                if shared >= threshold * n - 1e-9:
+                    yield doc, index.ids[item], shared, n
 
     for i, text in enumerate(texts):
         words = words_of(text)
@@ -150,14 +178,53 @@ def search(index: Index, texts: list[bytes], ngram: int = NGRAM, threshold: floa
         yield from found()
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple]]:
-    """The items in blocks small enough to broadcast, by a hash of their id; blocks follow from measured counts and bytes."""
-    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+class Indexes:
+    """All items as broadcasts of bounded size. Called in a task, they come one after the other; one alone is kept."""
+
+    def __init__(self, context: SparkContext, items: DataFrame, ngram: int, hashes: int):
+        """items: distinct (id, text)."""
+        self.shared, sizes = [], set()
+        for block in item_blocks(items):
+            index = build_index(block, ngram, hashes)
+            sizes.update(index.partitions)
+            if index.ids:
+                self.shared.append(context.broadcast(index))
+        self.sizes = sorted(sizes)
+
+    def __call__(self) -> Iterator[Index]:
+        for shared in self.shared:
+            yield shared.value
+            if len(self.shared) > 1:
+                del shared._value  # read again from its file for the next slice
+
+
+def item_blocks(items: DataFrame) -> Iterator[list[tuple]]:
+    """Distinct (id, text) rows in blocks of at most ITEMS_AT_ONCE rows and ITEM_BYTES_AT_ONCE bytes, or of one row.
+
+    Blocks follow from a hash; they are counted before one is collected, and there are more of them if one is too large.
+    """
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     blocks = max(math.ceil(size["n"] / ITEMS_AT_ONCE), math.ceil(size["b"] / ITEM_BYTES_AT_ONCE))
+    while blocks:
+        dealt = items.withColumn("block", F.pmod(F.xxhash64("text", F.lit("block")), F.lit(blocks)))
+        if blocks == 1:
+            break
+        sums = dealt.groupBy("block").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
+        if sums.where((F.col("n") > 1) & ((F.col("n") > ITEMS_AT_ONCE) | (F.col("b") > ITEM_BYTES_AT_ONCE))).isEmpty():
+            break
+        blocks *= 2
     for i in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i)
-        yield [tuple(r) for r in part.orderBy("id", "text").collect()]
+        yield [(r["id"], r["text"]) for r in dealt.where(F.col("block") == i).orderBy("id", "text").collect()]
+
+
+def distinct_items(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text) for each text, and (id, item) for each item if texts repeat: then id stands for a text, not for an item."""
+    rows = items.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    texts = rows.groupBy("text").agg(F.min("item").alias("id"), F.count("*").alias("n"))
+    if texts.where("n > 1").isEmpty():
+        return texts.select("id", "text"), None
+    numbered = materialise(texts.select("text").withColumn("id", F.monotonically_increasing_id()), "item-texts")
+    return numbered.select("id", "text"), materialise(rows.join(numbered, "text").select("id", "item"), "items-of-texts")
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", ngram: int = NGRAM, threshold: float = THRESHOLD, hashes: int = HASHES) -> DataFrame:
@@ -165,42 +232,44 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
     containment is the share of the item's distinct word shingles that occur in the document. An item of fewer than
     ngram words is one shingle, and only a document of just these words holds it. Null and empty texts match nothing;
-    repeated documents and items keep their rows; null ids stay null. Items are searched in blocks of bounded size,
-    each broadcast to one pass over the documents; no documents or items give no rows. Other columns are not read.
+    repeated documents and items keep their rows; null ids stay null. Equal item texts are searched for once and joined
+    with their items afterwards; no documents or items give no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    of_doc, of_item = rows.schema["doc_id"].dataType, items.schema[item_id].dataType
-    schema = f"doc_id {of_doc.simpleString()}, item_id {of_item.simpleString()}, n_shared long, n_item long, containment double"
-    context, out = docs.sparkSession.sparkContext, None
-    for block in item_blocks(items, item_id):
-        shared = context.broadcast(build_index(block, ngram, hashes))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            of_id = pa.array(index.ids) if index.ids else pa.array([], pa.int64())
-            for batch in batches:
-                got = list(search(index, byte_texts(batch.column(1)), ngram, threshold))
-                if got:
-                    doc, item, n = (np.array(x) for x in zip(*got, strict=True))
-                    size = np.array([len(index.shingles[i]) for i in item])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), of_id.take(pa.array(item)), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(n / size)], names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
-
-        found = rows.mapInArrow(scan, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    texts, items_of = distinct_items(items, item_id, "text")
+    indexes = Indexes(docs.sparkSession.sparkContext, texts, ngram, hashes)
+    kind = texts.schema["id"].dataType
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {kind.simpleString()}, n_shared long, n_item long, containment double"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches if indexes.shared else ():
+            got = list(search(indexes, indexes.sizes, byte_texts(batch.column(1)), ngram, threshold, hashes))
+            if got:
+                doc, item, n, size = zip(*got, strict=True)
+                n, size = np.array(n), np.array(size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(item, to_arrow_type(kind)), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(n / size)], names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
+
+    found = rows.mapInArrow(scan, schema)
+    if items_of is None:
+        return found
+    return found.withColumnRenamed("item_id", "id").join(items_of, "id").select("doc_id", F.col("item").alias("item_id"), "n_shared", "n_item", "containment")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, hashes: int = HASHES) -> DataFrame:
-    """The rows of docs, all columns, whose text holds no item to the threshold: one narrow pass for each block of items."""
+    """The rows of docs, all columns, whose text holds no item to the threshold: one narrow pass over documents.
+
+    Null and empty texts hold nothing and stay; repeated rows go or stay together; null ids, columns of any other name
+    and repeated or empty items make no difference. Without items every document stays; an empty table stays empty.
+    """
     at = docs.columns.index("text")
-    for block in item_blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(build_index(block, ngram, hashes))
+    texts = items.select(F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    indexes = Indexes(docs.sparkSession.sparkContext, texts.select(F.lit(0).alias("id"), "text"), ngram, hashes)
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[d for d, _, _ in search(shared.value, byte_texts(batch.column(at)), ngram, threshold)]] = False
-                yield batch.filter(pa.array(keep))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            if indexes.shared:
+                keep[[d for d, *_ in search(indexes, indexes.sizes, byte_texts(batch.column(at)), ngram, threshold, hashes)]] = False
+            yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(scan, docs.schema)
-    return docs
+    return docs.mapInArrow(scan, docs.schema)

@@ -52,11 +52,34 @@ def test_blocks_of_items_and_words(spark, monkeypatch):
     kept = {r.doc_id for r in D.drop_contaminated(df, it).collect()}
     assert kept == {d for d, _ in docs} - {b[0] for b in brute(docs, items)}
     monkeypatch.setattr(D, "_SLICE_WORDS", 50)
-    index = D.build_index(items)
-    got = sorted(((docs[d][0], index.ids[i], n) for d, i, n in D.search(index, [t.encode() for _, t in docs])), key=str)
+    half = [D.build_index(items[:20]), D.build_index(items[20:])]
+    sizes = sorted({size for x in half for size in x.partitions})
+    got = sorted(((docs[d][0], i, n) for d, i, n, _ in D.search(lambda: half, sizes, [t.encode() for _, t in docs])), key=str)
     assert got == [b[:3] for b in brute(docs, items)]
 
 
+def test_repeated_items_in_bounded_blocks(spark, monkeypatch):
+    """One text that most items share is one entry of one index; blocks are counted before they are collected."""
+    docs, items = make(4)
+    items += [(1000 + i, items[7][1] or "w1 w2 w3") for i in range(300)] + [(2000 + i, f"only words of item {i}") for i in range(60)]
+    monkeypatch.setattr(D, "ITEMS_AT_ONCE", 9)
+    taken, plain = [], D.item_blocks
+    monkeypatch.setattr(D, "item_blocks", lambda x: (taken.append(len(b)) or b for b in plain(x)))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, D.contaminated_pairs(df, it).collect()), key=str) == brute(docs, items)
+    assert len(taken) > 9 and max(taken) <= 9 and sum(taken) == len({t for _, t in items})
+    kept = {r.doc_id for r in D.drop_contaminated(df, it).collect()}
+    assert kept == {d for d, _ in docs} - {b[0] for b in brute(docs, items)}
+
+
+def test_dropping_from_odd_tables(spark):
+    docs = [(1, None, "k", 1), (2, "", "k", 2), (None, "p q r s t u", "k", 3), (3, "p q r s t u v", "k", 4), (3, "p q r s t u v", "k", 5), (4, "clean text here", "k", 6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, item_id string, n_item long")
+    items = spark.createDataFrame([(None, "p q r s t u", 0), (1, "p q r s t u", 0), (2, None, 0), (3, "", 0)], "item_id long, text string, doc_id long")
+    assert sorted(r.n_item for r in D.drop_contaminated(df, items).collect()) == [1, 2, 6]
+    assert D.drop_contaminated(df, items.limit(0)).count() == 6 and D.drop_contaminated(df.limit(0), items).count() == 0
+
+
 def test_edges(spark):
     long = "x y " * 100_000
     docs = [(1, None, "k"), (2, "", "k"), (3, "a b c", "k"), (3, "A, b c!", "k"), (None, "p q r s t u v", "k"), (4, long + "p q r s t u v", "k"), (5, "a b c d", "k")]
