@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.sources.storage import discard, materialise, shared_dir
+from crestline.sources.storage import discard, materialise, scratch_scope, shared_dir
 
-__all__ = ["ALNUM", "LOWER", "byte_texts", "discard", "env_path", "local_roots", "materialise", "read", "shared_dir", "table_path"]
+__all__ = ["ALNUM", "LOWER", "byte_texts", "discard", "env_path", "local_roots", "materialise", "read", "scratch_scope", "shared_dir", "table_path"]
 
 #: lower-cases A-Z, leaves every other byte
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -97,18 +97,21 @@ class Mixture(NamedTuple):
     exponent: float
 
 
-def mix_sources(docs: DataFrame, target: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, budget_ratio: float = 1.0, seed: str = SEED) -> Mixture:
+def mix_sources(docs: DataFrame, target: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, budget_ratio: float = 1.0, seed: str = SEED, carry: bool = False) -> Mixture:
     """rows: (doc_id, source, n_tokens, weight, epoch, order_key), one for each time a document occurs in the mixture.
 
     n_tokens counts words; the mixture's budget is budget_ratio times the corpus' own tokens, rounded down. A source takes its whole
     epochs and then documents of one more epoch, in order_key order, as long as their sum stays within its budget.
     Null is a source like any other; sources without tokens get nothing, not even their empty documents. Rows that
     repeat a doc_id share a place and go in or out together; a null id hashes like the text "null". Empty input gives
-    no rows. Other columns are not read.
+    no rows. Other columns are not read. With carry, rows hold all columns of docs, texts included, and then n_tokens,
+    weight, epoch and order_key, which replace columns of these names: places are found without texts, and each document
+    then works out from its own columns how often it occurs, so that no text is moved but to its output.
     """
     h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    tokens = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("n_tokens"))
-    tokens = materialise(tokens.select("*", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), F.substring(h, 1, 16).alias("h")), "mix-tokens")
+    skey = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    tokens = docs.select("doc_id", F.col("source").cast("string").alias("source"), skey.alias("skey"), word_count(F.col("text").cast("string")).alias("n_tokens"))
+    tokens = materialise(tokens.withColumn("h", F.substring(h, 1, 16)), "mix-tokens")
     totals = materialise(tokens.groupBy("skey").agg(F.sum("n_tokens").alias("tokens")), "mix-sources")
     total = totals.agg(F.sum("tokens")).first()[0] or 0
     budget = math.floor(total * budget_ratio)
@@ -141,9 +144,15 @@ def mix_sources(docs: DataFrame, target: float = TARGET_ENTROPY, max_repeats: fl
     for i in reversed(range(LEVELS)):
         inside = (F.col(f"p{i}") < F.col(f"e{i}")) | ((F.col(f"p{i}") == F.col(f"e{i}")) & inside)
     # a source whose room never ends within an epoch has no row here; its room is 0 or its remaining documents are empty
-    last = F.coalesce(inside, F.lit(True)).cast("long")
-    times = F.col("epochs") + last
-    rows = placed.join(ends, "skey", "left").withColumn("times", times).where("times > 0")
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-    rows = rows.select("doc_id", "source", "n_tokens", "weight", "epoch", _order_key(F.col("epoch"), F.col("h"), seed).alias("order_key"))
-    return Mixture(rows, sources, exponent)
+    times = (F.col("epochs") + F.coalesce(inside, F.lit(True)).cast("long")).alias("times")
+    added = ("n_tokens", "weight", "epoch", "order_key")
+    if carry:
+        mixed = sources.select("skey", "weight", "epochs").join(ends, "skey", "left")
+        own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
+        keyed = docs.select(F.struct(*own).alias("row"), skey.alias("skey"), F.substring(h, 1, 16).alias("h"), word_count(F.col("text").cast("string")).alias("n_tokens")).join(mixed, "skey")
+        placed = keyed.select("*", *(_permuted(F.col("epochs"), i, F.col("h"), seed).alias(f"p{i}") for i in range(LEVELS)))
+        rows = placed.select("row", "n_tokens", "weight", "h", times)
+    else:
+        rows = placed.join(ends, "skey", "left").select(F.struct("doc_id", "source").alias("row"), "n_tokens", "weight", "h", times)
+    rows = rows.where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    return Mixture(rows.select("row.*", "n_tokens", "weight", "epoch", _order_key(F.col("epoch"), F.col("h"), seed).alias("order_key")), sources, exponent)

@@ -1,8 +1,10 @@
+import os
+
 import pytest
 
 import corpus_pipeline as P
-from crestline.llm import decontam, neardup, quality, secrets
-from crestline.llm.common import materialise
+from crestline.llm import decontam, mixing, neardup, quality, secrets
+from crestline.llm.common import materialise, shared_dir
 from crestline.llm.queries import ORACLE_SQL, QUERIES
 from crestline.llm.simhash import words_of
 from crestline.llm.training import labelled_sample
@@ -67,13 +69,30 @@ def test_stages_against_brute_force(spark, sf, stages):
         want[i] = secrets.redact(t, base + secrets.random_spans(t, count, base, secrets.MAX_CHARS_PER_TOKEN, secrets.MIN_RANDOM))
     assert texts(safe) == want  # these few documents hold none; test_spans covers documents that do
     assert all(r.n_chars == len(r.text) for r in safe.collect())
-    # mixture
-    assert {r.doc_id for r in mixed.collect()} <= set(want)
+    # mixture: whole documents, as they were cleaned
+    rows = mixed.collect()
+    assert mixed.columns == [*docs.columns, "n_tokens", "weight", "epoch", "order_key"]
+    assert rows and all(want[r.doc_id] == r.text and r.n_tokens == len((r.text or "").split()) for r in rows)
+    plain = mixing.mix_sources(safe).rows
+    assert sorted(map(tuple, plain.collect())) == sorted(tuple(r[c] for c in plain.columns) for r in rows)
 
 
 def test_run_and_empty(spark, sf, stages, tmp_path):
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
     got = P.run(spark, sf)
+    left = {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before}
+    assert left <= {"pipeline-secret_scan", "mix-tokens", "mix-budgets", "mix-ends", "mix-places"}  # what the result is read from
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stages[-1].collect()))
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixture_of_odd_tables(spark):
+    rows = [(1, "a b c", "x", 0.5, "k"), (1, "a b c", "x", 0.6, "k"), (None, "d e", None, 0.1, "k"), (2, None, "x", 0.2, "k"), (3, "", "y", 0.3, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, Weight double, h string")
+    got = mixing.mix_sources(df, carry=True).rows
+    assert got.columns == ["doc_id", "text", "source", "h", "n_tokens", "weight", "epoch", "order_key"]
+    assert {(r.doc_id, r.text) for r in got.collect()} <= {r[:2] for r in rows} and got.where("source = 'y'").count() == 0
+    assert mixing.mix_sources(df.limit(0), carry=True).rows.count() == 0
