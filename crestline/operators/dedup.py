@@ -36,8 +36,8 @@ def first_touches(events: DataFrame, rotation_us: int, rotations: int) -> DataFr
     return first.select(*KEY, "epoch", F.col("f.ts_us").alias("ts_us"), F.col("f.event_id").alias("event_id"), "touches", _kept(rotations).alias("keep"))
 
 
-def _kept(rotations: int) -> Column:
-    before = F.lag("epoch").over(Window.partitionBy(*KEY).orderBy("epoch"))
+def _kept(rotations: int, key: tuple[str, ...] = KEY) -> Column:
+    before = F.lag("epoch").over(Window.partitionBy(*key).orderBy("epoch"))
     return before.isNull() | (F.col("epoch") - before >= rotations)
 
 
@@ -47,9 +47,11 @@ def drop_repeats(events: DataFrame, rotation_us: int, rotations: int) -> DataFra
 
 
 def unique_touches(events: DataFrame, rotation_us: int, rotations: int) -> DataFrame:
-    """(query, ts_us) of the events that are no repeats, for counting: a hash aggregation of numbers only.
+    """(query, ts_us) of the events that are no repeats, for counting: aggregations and sorts over numbers only.
 
-    The first shuffle carries a row for each key and epoch of a task, the second a row for each key and epoch.
+    A key is its 128-bit hash (equal hashes count as equal), so that no text is compared; the query comes along. The first
+    shuffle carries a row for each key and epoch of a task, the second a row for each key and epoch.
     """
-    first = events.groupBy(*KEY, epoch(rotation_us).alias("epoch")).agg(F.min("ts_us").alias("ts_us"))
-    return first.select("query", "ts_us", _kept(rotations).alias("keep")).where("keep").select("query", "ts_us")
+    hashed = events.select("query", "ts_us", epoch(rotation_us).alias("epoch"), F.xxhash64(*KEY).alias("_k1"), F.xxhash64(F.lit("second"), *KEY).alias("_k2"))
+    first = hashed.groupBy("_k1", "_k2", "epoch", "query").agg(F.min("ts_us").alias("ts_us"))
+    return first.select("query", "ts_us", _kept(rotations, ("_k1", "_k2")).alias("keep")).where("keep").select("query", "ts_us")

@@ -8,11 +8,14 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _open = threading.local()
+#: scratch paths that were given out and not deleted yet
+_left: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder; what is left there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _left:
+        atexit.register(_sweep)
+    _left.add(path)
+    return path
+
+
+def _sweep() -> None:
+    jvm = SparkContext._jvm
+    for path in sorted(_left) if jvm is not None else ():
+        for name in (path, f"{path}-state"):  # a stream keeps its state beside its table
+            target = jvm.org.apache.hadoop.fs.Path(name)
+            with suppress(Exception):
+                target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+    _left.clear()
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -82,3 +99,4 @@ def discard(df: DataFrame | None) -> None:
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _left.discard(path)
