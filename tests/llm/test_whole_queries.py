@@ -46,6 +46,22 @@ def test_op6(spark, sf):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in QUERIES["op6_embedding_near_dedup"](spark, sf).collect()} == want
 
 
+def test_op6_with_links(spark, tmp_path):
+    """The driver's vectors have no near neighbours; here a third lie in one cone, others in small groups, some repeat."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centres = rng.normal(size=(40, 32))
+    x = np.concatenate([centres[0] + 0.3 * rng.normal(size=(300, 32)), centres[rng.integers(1, 40, 400)] + 0.27 * rng.normal(size=(400, 32)), rng.normal(size=(200, 32))])
+    x = unit(np.concatenate([x, x[:20], 3 * x[300:310]])).astype(np.float32)
+    rows = [(i * 7, [float(v) for v in r], int(i % 3)) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    wide = x.astype(np.float64)
+    links, root = brute_vectors(wide)
+    assert 500 < (links > 0).sum() and len(set(root[:300])) < 50
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in QUERIES["op6_embedding_near_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {i * 7: (links[i], root[i] * 7, root[i] == i) for i in range(len(x))}
+
+
 def test_op10(spark, sf, documents):
     for r in QUERIES["op10_license_scan"](spark, sf).collect():
         words = brute_words(documents[r.doc_id])
