@@ -89,9 +89,9 @@ def _languages(numbers: np.ndarray, words: pa.Array, starts: np.ndarray) -> np.n
                     marks[i, k] = 1
     counts = np.zeros((len(starts) - 1, len(listed)), np.int64)
     owner = text_of_word(starts)
-    for lo in range(0, len(numbers), SLICE * 8):
-        at, who = segments(owner[lo : lo + SLICE * 8])
-        counts[who] += np.add.reduceat(marks[numbers[lo : lo + SLICE * 8]], at, axis=0)
+    for lo in range(0, len(numbers), SLICE * 32):
+        at, who = segments(owner[lo : lo + SLICE * 32])
+        counts[who] += np.add.reduceat(marks[numbers[lo : lo + SLICE * 32]], at, axis=0)
     return np.where(counts.max(1) > 0, counts.argmax(1), len(listed))
 
 

@@ -18,7 +18,7 @@ SAMPLE_BYTES = 256 << 20
 #: longer words, in bytes, are cut into pieces: joined text, and scripts that do not part words
 MAX_WORD, PIECE = 64, 16
 #: words that are gathered at once, whatever the length of a text
-SLICE = 1 << 16
+SLICE = 1 << 14
 
 
 def remainder(id_col: str, divisor: int) -> Column:
@@ -58,7 +58,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int
     return list(zip(table["_t"].to_pylist(), table["_y"].to_pylist(), strict=True)) if n else []
 
 
-def text_batches(column: pa.Array, most_bytes: int = 8 << 20) -> Iterator[pa.Array]:
+def text_batches(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[pa.Array]:
     """The column in runs of whole texts of about most_bytes, null as empty; a longer text is a run of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
