@@ -66,10 +66,32 @@ def test_edges(spark):
     assert got == sorted([(2, "", 2), (6, rows[2][1], 4), (None, rows[5][1], 5), rows[7]], key=str)
     assert drop_near_duplicates(df.limit(0)).columns == df.columns
     assert drop_near_duplicates(df.limit(0)).count() == 0
+    other = spark.createDataFrame([(1, "a b c d e f g", k, "x") for k in (3, 1, 2, 1)] + [(2, "a b c d e f g", 0, None)], "doc_id long, text string, _near0 long, _NEAR1 string")
+    kept = [drop_near_duplicates(other.repartition(n)).collect() for n in (1, 3, 4)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 1 and kept[0][0].doc_id == 1 and kept[0][0].asDict().keys() == {"doc_id", "text", "_near0", "_NEAR1"}
     twice = spark.createDataFrame([(1, "a b c d e f g", 1), (1, "a b c d e f g", 1)], "doc_id long, text string, k1 long")
     assert drop_near_duplicates(twice).count() == 1
 
 
+@pytest.mark.parametrize("edit", ["append", "cut", "spread"])
+def test_recall_by_kind_of_edit(spark, monkeypatch, edit):
+    """Pairs at a similarity of 0.80 to 0.85, with tables that are broadcast and with tables that are not."""
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0 if edit == "cut" else 1 << 19)
+    rng, rows = random.Random(edit), []
+    while len(rows) < 300:
+        base = [f"v{rng.randrange(20_000)}" for _ in range(220)]
+        if edit == "append":
+            other = base + [f"v{rng.randrange(20_000)}" for _ in range(rng.randrange(38, 54))]
+        elif edit == "cut":
+            other = base[: -rng.randrange(32, 43)]
+        else:
+            other = edited(rng, base, rng.choice([4, 5]))
+        if 0.8 <= jaccard(*(shingle_set([w.encode() for w in x]) for x in (base, other))) <= 0.85:
+            rows += [base, other]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in drop_near_duplicates(df).collect()) == list(range(0, 300, 2))
+
+
 def test_shared_counts(monkeypatch):
     rng = np.random.default_rng(0)
     rows, columns = ([np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(n)] for n in (7, 9))
