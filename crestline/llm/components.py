@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", label: st
 
     Large-star hangs a node's larger neighbours below its smallest one, small-star its smaller ones; both keep the
     components, and a forest of stars is their fixed point, reached in a logarithmic number of rounds in practice.
-    A round aggregates minima with map-side combine and joins them back; AQE splits a hub's partition. No neighbour
+    A round aggregates minima with map-side combine, writes them and joins them back; as both sides of that join are
+    tables, AQE splits a hub's partition. No neighbour
     list is ever gathered. Every round is written to the shared folder. Null ends and loops are ignored; no edges
     give an empty table.
     """
@@ -23,14 +24,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", label: st
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), label)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, label)
+        large, low_of_large = materialise(large, label), low
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         small = small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
         small = materialise(small, label)
         discard(large)
+        discard(low_of_large)
         discard(now)
         now, before = small, mark
         mark = _mark(now)
