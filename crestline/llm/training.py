@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from crestline.llm.common import discard, materialise
 
 #: bytes of the labelled texts that a classifier is fitted on
-SAMPLE_BYTES = 256 << 20
+SAMPLE_BYTES = 48 << 20
 #: longer words, in bytes, are cut into pieces: joined text, and scripts that do not part words
 MAX_WORD, PIECE = 64, 16
 #: words that are gathered at once, whatever the length of a text
