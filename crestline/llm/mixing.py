@@ -23,6 +23,8 @@ SEED = "mix"
 #: the exponent is a multiple of 2^-20; each pass over the sources does five bisections of both intervals
 STEPS, FAN = 1 << 20, 32
 LEVELS = 3
+#: rows, one a source, that are broadcast at most; with more sources texts are shuffled by source
+BROADCAST_SOURCES = 1 << 17
 
 
 def word_count(text: Column) -> Column:
@@ -147,7 +149,8 @@ def mix_sources(docs: DataFrame, target: float = TARGET_ENTROPY, max_repeats: fl
     times = (F.col("epochs") + F.coalesce(inside, F.lit(True)).cast("long")).alias("times")
     added = ("n_tokens", "weight", "epoch", "order_key")
     if carry:
-        mixed = sources.select("skey", "weight", "epochs").join(ends, "skey", "left")
+        mixed = materialise(sources.select("skey", "weight", "epochs").join(ends, "skey", "left"), "mix-sources-ends")
+        mixed = F.broadcast(mixed) if mixed.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else mixed
         own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
         keyed = docs.select(F.struct(*own).alias("row"), skey.alias("skey"), F.substring(h, 1, 16).alias("h"), word_count(F.col("text").cast("string")).alias("n_tokens")).join(mixed, "skey")
         placed = keyed.select("*", *(_permuted(F.col("epochs"), i, F.col("h"), seed).alias(f"p{i}") for i in range(LEVELS)))

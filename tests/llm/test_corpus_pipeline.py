@@ -82,17 +82,43 @@ def test_run_and_empty(spark, sf, stages, tmp_path):
     before = set(os.listdir(folder))
     got = P.run(spark, sf)
     left = {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before}
-    assert left <= {"pipeline-secret_scan", "mix-tokens", "mix-budgets", "mix-ends", "mix-places"}  # what the result is read from
+    assert left <= {"pipeline-secret_scan", "mix-tokens", "mix-budgets", "mix-ends", "mix-places", "mix-sources-ends"}  # what the result is read from
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stages[-1].collect()))
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
-def test_mixture_of_odd_tables(spark):
+@pytest.mark.parametrize("most", [0, 1 << 17])
+def test_mixture_of_odd_tables(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
     rows = [(1, "a b c", "x", 0.5, "k"), (1, "a b c", "x", 0.6, "k"), (None, "d e", None, 0.1, "k"), (2, None, "x", 0.2, "k"), (3, "", "y", 0.3, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, Weight double, h string")
     got = mixing.mix_sources(df, carry=True).rows
     assert got.columns == ["doc_id", "text", "source", "h", "n_tokens", "weight", "epoch", "order_key"]
     assert {(r.doc_id, r.text) for r in got.collect()} <= {r[:2] for r in rows} and got.where("source = 'y'").count() == 0
     assert mixing.mix_sources(df.limit(0), carry=True).rows.count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf, tmp_path):
+    """Null and empty texts, null and repeated ids, repeated rows, a very long text, and columns named like the stages' own."""
+    good = [r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect() if r.text and len(r.text.split()) > 40][:12]
+    key = "qX7fK2pLz9VbT4mWc8RdY1sN"
+    rows = [(r.doc_id, r.text, r.lang, r.source, len(r.text)) for r in good]
+    rows += [(None, None, None, None, None), (None, "", "en", "web", 0), (9001, f"{good[0].text} the key is {key} here", "en", "web", 5), (9002, " ".join(r.text for r in good) * 20, "en", None, 7)]
+    rows += [(rows[0][0], rows[0][1], "xx", "other", 1), rows[1], rows[1]]
+    wide = [(*r, i, i * 0.5, "x", i % 2 == 0) for i, r in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _near0 int, weight double, epoch string, held_out boolean"
+    docs = spark.createDataFrame(wide, schema)
+    assert {r._near0 for r in P.quality(spark, docs, sf).collect()} <= set(range(len(wide)))
+    unique = P.near_dedup(spark, docs, sf).collect()
+    assert [len([r for r in unique if r.text == rows[k][1]]) for k in (0, 1)] == [1, 1] and len([r for r in unique if not r.text]) == 1
+    assert sorted(P.near_dedup(spark, docs.repartition(5), sf).collect(), key=str) == sorted(unique, key=str)
+    assert {r._near0 for r in P.decontamination(spark, docs, sf).collect()} >= {12, 13}
+    safe = {r._near0: r for r in P.secret_scan(spark, docs, sf).collect()}
+    assert len(safe) == len(wide) and safe[12].text is None and key not in safe[14].text and "[random]" in safe[14].text and safe[14].n_chars == len(safe[14].text)
+    mixed = P.mixing(spark, docs, sf)
+    assert mixed.columns == ["doc_id", "text", "lang", "source", "n_chars", "_near0", "held_out", "n_tokens", "weight", "epoch", "order_key"]
+    assert {r._near0 for r in mixed.collect()} <= set(range(len(wide)))
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name

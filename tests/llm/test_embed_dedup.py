@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from crestline.llm import embed_dedup
-from crestline.llm.embed_dedup import agreement, code_for, embedding_components, near, passes_for
+from crestline.llm.embed_dedup import agreement, codes_for, embedding_components, near, near_pairs, passes_for
 
 
 def brute(x, threshold=0.9):
@@ -40,7 +40,7 @@ def test_edges(spark):
 
 
 def test_more_vectors_need_more_passes():
-    passes = [passes_for(code_for(n)[1]) for n in (1, 10_000, 1_000_000, 1_000_000_000)]
+    passes = [min(passes_for(meet) for _, meet in codes_for(n)) for n in (1, 10_000, 1_000_000, 1_000_000_000)]
     assert passes[0] == 2 and passes == sorted(passes) and passes[-1] <= 80
     assert 0.4 < agreement(0.9, 64) < agreement(0.9, 8) < agreement(0.95, 8) < 1
 
@@ -52,6 +52,9 @@ def test_borderline_pairs_get_one_answer():
     whole = near(x, x, 0.0)
     for t in np.unique((x[:20] * x[100]).sum(1)):  # each of these is some pair's cosine
         whole = near(x, x, t)
+        found = np.zeros_like(whole)
+        found[near_pairs(x, x, t)] = True
+        assert (found == whole).all()
         for rows in (1, 7, 64):
             assert all((near(x[lo : lo + rows], x[90:111], t) == whole[lo : lo + rows, 90:111]).all() for lo in range(0, 21, rows))
 

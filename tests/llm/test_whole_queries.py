@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -12,7 +13,7 @@ from test_simhash import brute_components, brute_fingerprint
 from test_spans import key, plain_pii, plain_secrets
 
 from crestline.llm import quality, toxicity
-from crestline.llm.queries import QUERIES
+from crestline.llm.queries import ORACLE_SQL, QUERIES
 from crestline.llm.training import labelled_sample
 
 
@@ -60,6 +61,9 @@ def test_op6_with_links(spark, tmp_path):
     assert 500 < (links > 0).sum() and len(set(root[:300])) < 50
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in QUERIES["op6_embedding_near_dedup"](spark, str(tmp_path)).collect()}
     assert got == {i * 7: (links[i], root[i] * 7, root[i] == i) for i in range(len(x))}
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in c.sql(ORACLE_SQL["op6_embedding_near_dedup"]).fetchall()} == got
 
 
 def test_op10(spark, sf, documents):
