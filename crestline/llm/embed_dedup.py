@@ -33,8 +33,8 @@ WAYS, BITS, SPARE = (4, 8, 16, 32, 64), 62, 4
 RECALL = 0.999
 PASSES_AT_ONCE = 4
 MAX_PASSES = 128
-TRIALS = 3
-SAMPLE = 1 << 16
+TRIALS = 2
+SAMPLE = 1 << 15
 ROWS_PER_TASK = 1 << 14
 #: pieces of one pass at most: beyond it pieces grow, so that the list of cuts stays small
 MAX_PIECES = 1 << 16
@@ -70,18 +70,16 @@ class Code(NamedTuple):
         return (2 * self.ways - 1).bit_length()
 
 
-def code_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW) -> tuple[Code, float]:
-    """The code for n vectors, and how often it brings two vectors at the threshold within one window if cells are even.
+def codes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW) -> list[tuple[Code, float]]:
+    """Codes for n vectors, and how often each brings two vectors at the threshold within one window if cells are even.
 
     They must agree on so many hashes that a cell of those that do has no more rows than a window.
     """
-    best: tuple[float, Code] = (0.0, Code(WAYS[0], 1))
+    out = []
     for ways in WAYS:
         need = math.ceil(math.log(n / window, 2 * ways)) if n > window else 0
-        meet = agreement(threshold, ways) ** need
-        code = Code(ways, max(1, min(need + SPARE, BITS // (2 * ways - 1).bit_length())))
-        best = max(best, (meet, code), key=lambda x: x[0])
-    return best[1], best[0]
+        out.append((Code(ways, max(1, min(need + SPARE, BITS // (2 * ways - 1).bit_length()))), agreement(threshold, ways) ** need))
+    return out
 
 
 def passes_for(meet: float, recall: float = RECALL) -> int:
@@ -139,6 +137,18 @@ def near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
+def near_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The (row of x, row of y) that near() marks, with one look at each product: for few pairs."""
+    product = x @ y.T
+    i, j = np.nonzero(product >= threshold - _DOUBT)
+    keep = product[i, j] > threshold + _DOUBT
+    doubt = np.flatnonzero(~keep)
+    for lo in range(0, len(doubt), 1 << 14):
+        at = doubt[lo : lo + (1 << 14)]
+        keep[at] = (x[i[at]] * y[j[at]]).sum(1) >= threshold
+    return i[keep], j[keep]
+
+
 def _planes(d: int, code: Code, passes: range) -> list[np.ndarray]:
     return [np.random.default_rng(_SEED + p).normal(size=(d, code.digits * code.ways)) for p in passes]
 
@@ -158,16 +168,34 @@ def _coded(batches: Iterator[pa.RecordBatch], code: Code, passes: range) -> Iter
                 yield p, found, part
 
 
-def _codes(code: Code, passes: range):
-    """(node, vector) into (pass, code, node) for each pass."""
+def _codes(codes: list[Code], passes: range):
+    """(node, vector) into (way, pass, code, node) for each of the codes and passes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, found, part in _coded(batches, code, passes):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), p, np.int32)), pa.array(found), part.column(0)], names=["pass", "code", "node"])
+        for batch in batches:
+            for way, code in enumerate(codes):
+                for p, found, part in _coded(iter([batch]), code, passes):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), way, np.int32)), pa.array(np.full(len(found), p, np.int32)), pa.array(found), part.column(0)], names=["way", "pass", "code", "node"])
 
     return scan
 
 
+def plan_passes(nodes: DataFrame, n: int, threshold: float, window: int, recall: float) -> tuple[Code, int]:
+    """The code and the number of passes for (node, vector): the fewest that a sample asks for, of at most SAMPLE vectors or so."""
+    codes = codes_for(n, threshold, window)
+    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(math.ceil(n / SAMPLE))) == 0)
+    trial = sample.mapInArrow(_codes([c for c, _ in codes], range(TRIALS)), "way int, pass int, code long, node long").toArrow().sort_by("node")
+    way, number, found = (trial[c].to_numpy() for c in ("way", "pass", "code"))
+    best: tuple[int, Code] | None = None
+    for w, (code, meet) in enumerate(codes):
+        if len(found):
+            meet = min(meet, meeting([found[(way == w) & (number == p)] for p in range(TRIALS)], code, n, threshold, window))
+        passes = min(MAX_PASSES, passes_for(meet, recall))
+        if best is None or passes < best[0]:
+            best = passes, code
+    return best[1], best[0]
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (pass, code, node, part) with their number within the task."""
     n = 0
@@ -260,7 +288,7 @@ def _window_scan(threshold: float, window: int):
             root = np.arange(len(node))
             for lo in range(before, len(node), _CHUNK):
                 hi, back = min(lo + _CHUNK, len(node)), max(0, lo - window)
-                i, j = np.nonzero(near(x[lo:hi], x[back:hi], threshold))
+                i, j = near_pairs(x[lo:hi], x[back:hi], threshold)
                 i, j = i + lo, j + back
                 fit = (j < i) & (i - j <= window) & (piece[i] == piece[j]) & ~held[i]
                 fit = fit & (root[i] != root[j]) & (node[i] != node[j])
@@ -278,16 +306,10 @@ def _pass_links(nodes: DataFrame, n: int, threshold: float, window: int, recall:
     """(a, b) links found in all passes over (node, vector), written a few passes at a time."""
     kind, found, context = nodes.schema["vector"].dataType.simpleString(), None, nodes.sparkSession.sparkContext
     order = "pass int, code long, node long"
-    code, meet = code_for(n, threshold, window)
-    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(math.ceil(n / SAMPLE))) == 0)
-    trial = sample.mapInArrow(_codes(code, range(TRIALS)), order).toArrow().sort_by("node")
-    trial_pass, trial_code = (trial[c].to_numpy() for c in ("pass", "code"))
-    total = passes_for(meet, recall)
-    if len(trial_code):
-        total = max(total, min(MAX_PASSES, passes_for(meeting([trial_code[trial_pass == p] for p in range(TRIALS)], code, n, threshold, window), recall)))
+    code, total = plan_passes(nodes, n, threshold, window, recall)
     for lo in range(0, total, PASSES_AT_ONCE):
         passes = range(lo, min(lo + PASSES_AT_ONCE, total))
-        codes = materialise(nodes.mapInArrow(_codes(code, passes), order), "codes")
+        codes = materialise(nodes.mapInArrow(_codes([code], passes), f"way int, {order}").drop("way"), "codes")
         ranked, cuts = _cuts(codes, n, len(passes), window)
         by_pass: dict[int, tuple[list, list]] = {p: ([], []) for p in passes}
         for r in cuts.collect():

@@ -99,6 +99,15 @@ ORACLE_SQL: dict[str, str] = {
                substr(md5('mix:' || epoch || ':' || substr(h, 1, 2)), 1, 8) || substr(h, 1, 2)
                || substr(md5('mix:' || epoch || ':' || substr(h, 3, 2)), 1, 8) || substr(h, 3, 2)
                || substr(md5('mix:' || epoch || ':' || substr(h, 5, 2)), 1, 8) || substr(h, 5, 2) || h as order_key from r""",
+    # every pair; the operator finds them all where a window holds all vectors, as at small scales
+    "op6_embedding_near_dedup": """
+        with recursive e as (select vec_id, embedding::double[] as x from embeddings),
+             ok as (select vec_id, x from e where len(x) > 0 and len(list_filter(x, lambda v: v is null or isnan(v) or isinf(v))) = 0 and len(list_filter(x, lambda v: v <> 0)) > 0),
+             li as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) and list_cosine_similarity(a.x, b.x) >= 0.9),
+             re(a, b) as (select a, b from li union select re.a, li.b from re join li on re.b = li.a),
+             n as (select a as vec_id, count(*) as n_links from li group by 1), c as (select a as vec_id, min(b) as low from re group by 1)
+        select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, coalesce(low, vec_id)) as component_id, least(vec_id, coalesce(low, vec_id)) = vec_id as kept
+        from e left join n using (vec_id) left join c using (vec_id)""",
     "op7_benchmark_decontamination": f"""
         with d as (select doc_id, {_WORDS} as w from documents),
              i as (select item_id, {_WORDS} as w from benchmark),
