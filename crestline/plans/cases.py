@@ -3,6 +3,7 @@ restarts, and the parts of the service; each with the SQL that DuckDB runs besid
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Callable
 from dataclasses import replace
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from crestline.config import AnomalyConfig, Config, DedupConfig, SnapshotConfig, WindowConfig
 from crestline.functions.text import csv_values, ring_index
+from crestline.logs import configure
 from crestline.operators import bloom, panes, stoplist, topk
 from crestline.operators.anomaly import anomaly_flags, ewma_at, ewma_history
 from crestline.operators.snapshot import first, limit_of, scored
@@ -224,6 +226,21 @@ def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, _refused(f)) for k, f in makers.items()], "given string, refused boolean")
 
 
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is written at each level and in each format."""
+    rows = []
+    for level in ("debug", "info", "warn", "error"):
+        for kind in ("text", "json"):
+            log, out = configure(level, kind), io.StringIO()
+            log.handlers[0].setStream(out)
+            for say in (log.debug, log.info, log.warning, log.error):
+                say("%s and é", say.__name__)
+            lines = out.getvalue().splitlines()
+            rows.append((level, kind, len(lines), sum(json.loads(x)["msg"].endswith("and é") for x in lines) if kind == "json" else sum(x.endswith("and é") for x in lines)))
+    configure()
+    return spark.createDataFrame(rows, "level string, kind string, n long, whole long")
+
+
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much the parts hold, and their parameters."""
     summary, words = topk.SpaceSaving(3), StopWords()
@@ -303,6 +320,17 @@ def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_panes(spark, path)
 
 
+def stream_triggered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that a clock starts, until nothing is left to read."""
+    path = scratch(spark, "triggered")
+    query = start_panes(valid_stream(_slices(spark, sf_dir, 3, _H), CFG, clock=False), path, f"{path}-state", CFG.window.pane_us)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return read_panes(spark, path)
+
+
 def stream_future(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that claim to come from the future go before the watermark sees them, so that no other one is late."""
     path = scratch(spark, "future")
@@ -367,7 +395,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         burst_flags, burst_snapshot, burst_candidates, trending_plain, trending_fresh_baseline, ewma_lives, ewma_slow, ewma_last_only, window_admission, ring_panes, ring_slots, bloom_sizes, bloom_words, bloom_seen,
-        topk_evicting, sketch_evicting, topk_none, limits, csv_words, stop_contains, environment, refusals, sizes, topic_messages, topic_lag, stream_dedup_late, stream_restart, stream_future, service_metrics, service_answers,
+        topk_evicting, sketch_evicting, topk_none, limits, csv_words, stop_contains, environment, refusals, log_lines, sizes, topic_messages, topic_lag, stream_dedup_late, stream_restart, stream_triggered, stream_future, service_metrics, service_answers,
     )
 }
 
@@ -435,6 +463,7 @@ ORACLE_SQL: dict[str, str] = {
         "who, name, value",
     ),
     "refusals": _values([(k, k not in ("capacity_of_one", "alpha_of_one")) for k in ("capacity", "capacity_of_one", "pane_of_window", "window_below_pane", "alpha", "alpha_of_one", "threshold", "penalty", "rotations", "bloom_keys", "bloom_share", "port", "brokers")], "given, refused"),
+    "log_lines": _values([(level, kind, n, n) for level, n in (("debug", 4), ("info", 3), ("warn", 2), ("error", 1)) for kind in ("text", "json")], "level, kind, n, whole"),
     "sizes": f"""with {Q._ev()}, {_values([("summary_keys", 3), ("summary_capacity", 3), ("window_panes", 24), ("stop_words", 4), ("bloom_bits", _BK), ("bloom_hashes", _BH)], "name, n").join(("fx as (", ")"))}
         select name, n from fx union all select 'queries_known', count(distinct query) from va where ts_us <= {AS_OF}""",
     "topic_messages": """with b as (select event_id % 19 = 0 or event_id % 23 = 0 as malformed, * from events)
@@ -445,6 +474,7 @@ ORACLE_SQL: dict[str, str] = {
     "stream_dedup_late": f"""with {Q._ev()}, {Q._DD} select identity, query, ts_us, id as event_id from un
         where keep and (ts_us // {Q._ROT} + 1) * {Q._ROT} < (select max(ts_us) // 1000 from ev) * 1000 - {24 * _H}""",
     "stream_restart": f"with {Q._ev()}, {Q._pn()} select * from pn",
+    "stream_triggered": f"with {Q._ev()}, {Q._pn()} select * from pn",
     "stream_future": f"""with {Q._ev()}, ok as (select * from va where event_id % 50 <> 0), {Q._pn("ok")} select query, pane_us, cnt from pn
         where pane_us + {_H} <= (select max(ts_us) from ok) - 300000000""",
     "service_metrics": f"""with {Q._ev()}, ca as (select *, event_id % 101 = 0 as bad, event_id % 97 = 0 or event_id % 89 = 0 as invalid from va),
