@@ -55,7 +55,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int
         found = found.where((F.col("_h") < last_h) | ((F.col("_h") == last_h) & (F.col("doc_id") <= F.lit(last_id))))
         table = found.select("_h", "doc_id", "_t", "_y").toArrow().sort_by([("_h", "ascending"), ("doc_id", "ascending")])
     discard(found)
-    return list(zip(table["_t"].to_pylist(), table["_y"].to_pylist(), strict=True)) if n else []
+    rows = list(zip(table["_t"].to_pylist(), table["_y"].to_pylist(), strict=True)) if n else []
+    table = sizes = None
+    pa.default_memory_pool().release_unused()  # the driver's memory is small beside what passed through it
+    return rows
 
 
 def text_batches(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[pa.Array]:
