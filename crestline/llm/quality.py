@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,14 +35,23 @@ MIN_COUNT = 20
 HIDDEN = 24
 UPDATES_ROWS = 120_000
 
-_UPPER, _SMALL, _DIGITS = re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
+#: runs of capitals, of other letters and of digits, each with the mark that stands for it and the mark's name
+_MARKS = (("[A-ZÀ-ÖØ-Þ]+", "\x01", "A"), (r"[\p{L}\p{Nl}\p{No}]+", "\x02", "a"), (r"\p{Nd}+", "\x03", "9"))
+_NAMES = str.maketrans({mark: name for _, mark, name in _MARKS})
 _RUN = re.compile(r"([^\w\s])\1+")
 
 
+def shapes(words: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """(number of each word's shape, the shapes): short names for how words are written, A, a and 9 for runs of capitals,
+    small letters and digits, and of equal signs two at most. Words are rewritten in C++, Python sees distinct shapes only."""
+    for pattern, mark, _ in _MARKS:
+        words = pc.replace_substring_regex(words, pattern=pattern, replacement=mark)
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), [_RUN.sub(r"\1\1", x).translate(_NAMES) for x in coded.dictionary.to_pylist()]
+
+
 def shape(word: str) -> str:
-    """A short name for how a word is written: A, a and 9 for runs of capitals, small letters and digits."""
-    word = _DIGITS.sub("\x009", _SMALL.sub("\x00a", _UPPER.sub("\x00A", word)))
-    return _RUN.sub(r"\1\1", word).replace("\x00", "")
+    return shapes(pa.array([word], pa.large_string()))[1][0]
 
 
 def index_vector(unit: str, dim: int = DIM) -> np.ndarray:
@@ -66,8 +76,12 @@ REPEAT = "<repeat>"
 
 
 def _units_of(words: pa.Array, units: dict[str, int]) -> np.ndarray:
-    last = len(units)
-    return np.array([units.get(w, -1) if w in units else units.get("shape " + shape(w), last) for w in words.to_pylist()], np.int64)
+    out = np.array([units.get(w, -1) for w in words.to_pylist()], np.int64)
+    rare = out < 0
+    if rare.any():
+        of_word, names = shapes(words.filter(pa.array(rare)))
+        out[rare] = np.array([units.get("shape " + x, len(units)) for x in names], np.int64)[of_word]
+    return out
 
 
 def _numbers(numbers: np.ndarray, starts: np.ndarray, of_word: np.ndarray, repeat: int) -> np.ndarray:
@@ -114,12 +128,14 @@ def word_vectors(texts: pa.Array, dim: int = DIM, max_units: int = MAX_UNITS, mi
     units = {REPEAT: 0}
     for _, w in top:
         units.setdefault(w, len(units))
-    shapes: Counter[str] = Counter()
-    for w, n in count.items():
-        if w not in units:
-            shapes["shape " + shape(w)] += n
+    rare = [w for w in count if w not in units]
+    of_word, names = shapes(pa.array(rare, pa.large_string()))
+    times = np.bincount(of_word, np.array([count[w] for w in rare], np.float64), len(names))
+    found: Counter[str] = Counter()
+    for name, n in zip(names, times.tolist(), strict=True):
+        found["shape " + name] += n
     count.clear()
-    for s, _ in sorted(shapes.items(), key=lambda x: (-x[1], x[0]))[: max_units // 2]:
+    for s, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[: max_units // 2]:
         units.setdefault(s, len(units))
     n = len(units) + 1
     own = np.stack([index_vector(u, dim) for u in (*units, "<unknown>")])
