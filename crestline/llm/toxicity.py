@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,13 +81,8 @@ class Model(NamedTuple):
 
 def _languages(numbers: np.ndarray, words: pa.Array, starts: np.ndarray) -> np.ndarray:
     """The language with most function words in each text; the last of LANGUAGES if there are none."""
-    listed = [set(x.split()) for x in FUNCTION_WORDS.values()]
-    marks = np.zeros((len(words), len(listed)), np.int32)
-    for i, w in enumerate(words.to_pylist()):
-        if len(w) <= 5:
-            for k, known in enumerate(listed):
-                if w in known:
-                    marks[i, k] = 1
+    listed = [pa.array(x.split(), words.type) for x in FUNCTION_WORDS.values()]
+    marks = np.stack([pc.is_in(words, value_set=x).to_numpy(zero_copy_only=False) for x in listed], axis=1).astype(np.int32)
     counts = np.zeros((len(starts) - 1, len(listed)), np.int64)
     owner = text_of_word(starts)
     for lo in range(0, len(numbers), SLICE * 32):
