@@ -92,6 +92,17 @@ def test_recall_by_kind_of_edit(spark, monkeypatch, edit):
     assert sorted(r.doc_id for r in drop_near_duplicates(df).collect()) == list(range(0, 300, 2))
 
 
+def test_shingle_hashes_stand_for_shingles():
+    rng = random.Random(12)
+    for n in (0, 1, 4, 5, 6, 60):
+        words = [b"w%d" % rng.randrange(4) for _ in range(n)]
+        plain = {tuple(words[i : i + 5]) for i in range(max(1, n - 4))} if words else set()
+        assert len(shingle_set(words)) == len(plain)
+        other = [*words[1:], b"x"]
+        both = plain & ({tuple(other[i : i + 5]) for i in range(max(1, len(other) - 4))} if words else set())
+        assert len(np.intersect1d(shingle_set(words), shingle_set(other))) == len(both) or not words
+
+
 def test_shared_counts(monkeypatch):
     rng = np.random.default_rng(0)
     rows, columns = ([np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(n)] for n in (7, 9))
