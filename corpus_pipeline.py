@@ -27,7 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, Jaccard similarity 0.8.
 
-    It is the one with the smallest id; of rows that repeat an id and a text one stays, the same on every run.
+    Candidates are the SimHash operator's components (op4's) and, beside them, texts that share a MinHash band; each link
+    is verified. What stays is the one with the smallest id; of rows that repeat an id and a text one stays, the same on
+    every run.
     """
     return drop_near_duplicates(docs)
 

@@ -1,10 +1,11 @@
-"""Near-duplicate groups at a Jaccard similarity of word shingles, with MinHash bands of the shingles as candidates.
-
-Candidates follow the shingle overlap itself, so it does not matter whether texts differ by scattered words or by a
-passage: two texts agree on one MinHash value with a probability of their Jaccard similarity, and are candidates if
-all values of one of the bands agree. Candidate components are then verified: every text against its component's
-leader, and those that are not near it against all texts of the component, in blocks. Only verified links join
-documents.
+"""Near-duplicate groups by SimHash and MinHash bands, held against a Jaccard similarity of word shingles.
+
+Candidates come from two sides. The SimHash operator's components, with its own shingles and radius, hold every text
+whose fingerprint is within three bits of another one's. MinHash bands follow the shingle overlap itself, so it does not
+matter whether texts differ by scattered words or by a passage: two texts agree on one MinHash value with a probability
+of their Jaccard similarity, and are candidates if all values of one of the bands agree. Components of both together
+are then verified: every text against its component's leader, and those that are not near it against all texts of the
+component, in blocks. Only verified links join documents.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from crestline.llm.common import byte_texts, discard, local_roots, materialise
 from crestline.llm.components import connected_components
 from crestline.llm.decontam import shingle_hashes
-from crestline.llm.simhash import words_of
+from crestline.llm.simhash import fingerprint, label_fingerprints, words_of
 
 NGRAM = 5
 SIMILARITY = 0.8
@@ -75,13 +76,19 @@ def _near(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return small >= similarity * large and jaccard(a, b) >= similarity
 
 
-def _band_scan(ngram: int, bands: int, rows: int):
+def _candidate_scan(ngram: int, bands: int, rows: int):
+    """Fingerprint and band keys of each text, from one look at its words."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                keys = [band_keys(shingle_set(words_of(x), ngram), bands, rows) for x in byte_texts(part.column(3))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(keys, pa.list_(pa.int64()))], names=["id", "k1", "k2", "keys"])
+                part, fps, keys = batch.slice(lo, 1024), [], []
+                for x in byte_texts(part.column(3)):
+                    words = words_of(x)
+                    fps.append(fingerprint(words))
+                    keys.append(band_keys(shingle_set(words, ngram), bands, rows))
+                found = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *found], names=["id", "k1", "k2", "fp", "keys"])
 
     return scan
 
@@ -222,8 +229,9 @@ def drop_near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: float
 
     Equal texts are one class from the start (equal 128-bit hashes count as equal; null is an empty text). A null id
     is larger than any other; of rows with equal id and text the one with the smallest hash of all its columns stays, so
-    that every run keeps the same. Groups are connected by verified pairs only. Empty tables stay empty; columns may
-    have any name, and very long texts are compared whole.
+    that every run keeps the same. Candidates are the SimHash operator's components and texts that share a band; groups
+    are connected by verified pairs only. Empty tables stay empty; columns may have any name, and very long texts are
+    compared whole.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     k1, k2 = F.xxhash64(text), F.xxhash64(F.lit("second"), text)
@@ -234,9 +242,14 @@ def drop_near_duplicates(docs: DataFrame, ngram: int = NGRAM, similarity: float
     named = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "node")
     match = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("id").eqNullSafe(F.col("rep"))
 
-    keyed = bare.mapInArrow(_band_scan(ngram, bands, band_rows), "id long, k1 long, k2 long, keys array<long>").join(named, match)
+    scanned = bare.mapInArrow(_candidate_scan(ngram, bands, band_rows), "id long, k1 long, k2 long, fp long, keys array<long>")
+    keyed = materialise(scanned.join(named, match).select("node", "fp", "keys"), "candidate-keys")
+    labels = label_fingerprints(keyed.select(F.col("node").alias("id"), "fp"))
+    alike = keyed.select("node", "fp").join(labels, "fp").where("node <> component_id").select(F.col("node").alias("x"), F.col("component_id").alias("y"))
     buckets = keyed.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    edges = materialise(buckets.mapInArrow(_bucket_links, "x long, y long").distinct(), "candidate-links")
+    edges = materialise(buckets.mapInArrow(_bucket_links, "x long, y long").unionByName(alike).distinct(), "candidate-links")
+    discard(keyed)
+    discard(labels)
     roots = materialise(connected_components(edges, "x", "y", "candidate-components"), "candidate-roots")
     wanted = materialise(roots.join(named, "node"), "candidate-classes")
     chosen = bare.join(_bounded(wanted), match)

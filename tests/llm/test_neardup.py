@@ -5,7 +5,7 @@ import pytest
 
 from crestline.llm import neardup
 from crestline.llm.neardup import drop_near_duplicates, jaccard, shared_counts, shingle_set
-from crestline.llm.simhash import words_of
+from crestline.llm.simhash import fingerprint, words_of
 
 
 def text(rng, n=120):
@@ -128,6 +128,28 @@ def test_passages_against_brute_force(spark):
     assert sorted(map(tuple, drop_near_duplicates(df).collect()), key=str) == brute_keep(rows)
 
 
+@pytest.mark.parametrize("seed", [12044, 14974, 17080, 17658])
+def test_simhash_finds_what_no_band_holds(spark, seed):
+    """A similarity of 0.8 exactly, equal fingerprints and, with production parameters, no band in common."""
+    base = [f"{c}{seed}" for c in "vwxyz"] * 40 + [f"{c}{seed}" for c in "abc"]
+    pair = [base, base + [f"{c}{seed}" for c in "de"]]
+    words = [[w.encode() for w in x] for x in pair]
+    a, b = map(shingle_set, words)
+    assert jaccard(a, b) == 0.8 and fingerprint(words[0]) == fingerprint(words[1])
+    assert not (neardup.band_keys(a) == neardup.band_keys(b)).any()
+    rows = [(i, " ".join(w)) for i, w in enumerate([*pair, ["of", "no", "group", "is", "this", "one"]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, drop_near_duplicates(df).collect())) == [rows[0], rows[2]] == brute_keep(rows)
+
+
+def test_simhash_links_are_verified(spark):
+    """Equal fingerprints from a passage that repeats; what else these texts hold has nothing in common."""
+    rows = [(i, " ".join(["v", "w", "x", "y", "z"] * 40 + [f"{c}{i}" for c in "abcd"])) for i in range(6)]
+    assert len({fingerprint(words_of(t.encode())) for _, t in rows}) == 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, drop_near_duplicates(df).collect())) == rows == brute_keep(rows)
+
+
 def test_bands_meet_whatever_the_edit():
     rng = random.Random(9)
     for _ in range(300):
